@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -35,11 +34,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete scratch made so far; only for callers whose earlier results are all written."""
-    while len(_made) > keep:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop(0))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def made() -> list[str]:
+    """Paths handed out so far and not yet dropped."""
+    return list(_made)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -59,7 +56,3 @@ def filesystem(uri: str):
     if uri.startswith("/"):
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
-
-
-def parent(path: str) -> str:
-    return os.path.dirname(path)
