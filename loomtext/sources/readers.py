@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from importlib import resources
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -87,8 +88,6 @@ def resource(name: str) -> str:
 
 def well_formed(docs: DataFrame, column: str, on_error: str = "null") -> DataFrame:
     """``docs`` with malformed XML as null, or an error naming how many there are."""
-    import pandas as pd
-
     from ..functions.dom import parse
 
     @F.pandas_udf("boolean")
