@@ -9,13 +9,18 @@ embedded set whose tokens are pairs (coordinate, value).
 sets move to the bucket of each picked token. Buckets of one set end; those with at most
 ``BUCKET`` sets are brute-forced; larger ones pick ``CHOICES`` coordinates anew and split again.
 With Jaccard J, two sets part at a bucket only if they differ in all its picks, so runs times
-choices is set for the recall aimed at: at the root, a pair with J = 0.5 is lost with
-probability 0.5 ** (RUNS * CHOICES) = 0.00024. A bucket that stays nearly as large as its
-parent holds mutually similar sets; it is brute-forced exactly, in pairs of blocks.
+choices is set for the recall aimed at, 0.99 at the threshold: at the root, a pair with
+J = 0.5 is lost with probability 0.5 ** (RUNS * CHOICES) = 0.001, after a split with 0.009,
+and far more rarely the more similar it is. A bucket that stays nearly as large as its parent
+holds mutually similar sets; it is brute-forced exactly, in pairs of blocks.
 
 Pairs whose minhash agreement or sizes rule out the threshold are dropped where they are
-formed; the exact Jaccard coefficient of the others is computed from the sets. Links are
-closed transitively by alternating large-star and small-star contraction.
+formed. The others are verified exactly from the sets, in blocks: a class joins its smallest
+partner's group, groups are cut into blocks of about ``MEMBERS`` sets, and each pair of blocks
+that holds a candidate is compared as a whole by a product of incidence matrices. A set
+travels once for each such pair of blocks, not for each candidate, and what comes out of one
+is its sets' numbers of links and a spanning star of each of its components, not every link.
+Components are then closed by alternating large-star and small-star contraction.
 
 Defined results: rows that share an id are one document, with its smallest text; rows with a
 null id take no part. A document without words (null, empty, only signs) is a class of its own
@@ -34,7 +39,8 @@ from . import bytesvec as bv
 from .scratch import materialize
 
 N, THRESHOLD = 3, 0.5
-COORDINATES, RUNS, CHOICES, BUCKET, DEPTH = 64, 4, 3, 128, 8
+COORDINATES, RUNS, CHOICES, BUCKET, DEPTH = 64, 5, 2, 256, 8
+MEMBERS, COLUMNS = 128, 1 << 14
 #: Agreeing coordinates below which a pair is dropped: 4 standard deviations under the threshold.
 SLACK = 4.0
 #: Ids that may be broadcast instead of shuffling texts: 16 bytes each.
@@ -70,6 +76,13 @@ def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return d, g
 
 
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    n, width = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * width
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def signatures(docs: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
     """doc_id, set size, class key (null without words) and minhash values of each row."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -93,10 +106,10 @@ def signatures(docs: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
                     low = np.minimum.reduceat((g ^ _XOR[c]) * _MUL[c], first)
                     sig[at, c] = (bv.mix(low) >> np.uint64(48)).astype(np.uint16).view(np.int16)
             offs = pa.array(np.arange(rows + 1, dtype=np.int32) * COORDINATES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key.view(np.int64), mask=size == 0), pa.ListArray.from_arrays(offs, pa.array(sig.ravel()))], names=["doc_id", "size", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key.view(np.int64), mask=size == 0), pa.ListArray.from_arrays(offs, pa.array(sig.ravel())), _fixed(sig.astype(np.uint8))], names=["doc_id", "size", "key", "sig", "low"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, size long, key long, sig array<smallint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, size long, key long, sig array<smallint>, low binary")
 
 
 def one_per_id(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -148,8 +161,11 @@ def bucket_pairs(sizes: np.ndarray, sig: np.ndarray, node: np.ndarray, key: np.n
     return pairs[0], pairs[1]
 
 
-def _brute(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs within the buckets of ``rows`` (node, key, size, sig), each bucket of bounded size."""
+def _brute(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs within the buckets of ``rows`` (node, key), each bucket of bounded size.
+
+    For comparing, a byte of each minhash value will do: one coordinate in 256 agrees by chance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -161,7 +177,8 @@ def _brute(rows: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.asarray(batch.column(3).flatten()).reshape(-1, COORDINATES)
+            data, offsets = (np.frombuffer(batch.column(3).buffers()[2], np.uint8), batch.column(3).offset * COORDINATES)
+            sig = data[offsets : offsets + batch.num_rows * COORDINATES].reshape(-1, COORDINATES)
             parts = [np.asarray(batch.column(k)) for k in range(3)] + [sig]
             if rest is not None:
                 parts = [np.concatenate(x) for x in zip(rest, parts)]
@@ -173,7 +190,8 @@ def _brute(rows: DataFrame, threshold: float) -> DataFrame:
         if rest is not None:
             yield out(rest)
 
-    return rows.select("node", "key", "size", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    rows = rows.select("node", "key").join(classes.select("key", "size", "low"), "key").select("node", "key", "size", "low")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
@@ -183,17 +201,16 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
         last = depth == DEPTH - 1
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.max("parent").alias("parent")).where("many > 1")
         # only ids and counts are shuffled until sets that stand alone in a bucket are gone
-        met = rows.select("key", "node").join(counts, "node")
-        met = materialize(met.join(classes, "key").select("node", "key", "size", "sig", "many", "parent"), "buckets")
+        met = materialize(rows.select("key", "node").join(counts, "node"), "buckets")
         stuck = F.lit(last) | (F.coalesce(F.col("many") > 0.5 * F.col("parent"), F.lit(False)))
-        found.append(_brute(met.where(F.col("many") <= BUCKET), threshold))
+        found.append(_brute(met.where(F.col("many") <= BUCKET), classes, threshold))
         big = met.where(F.col("many") > BUCKET)
         kinds = {r[0] for r in big.select(stuck.alias("s")).distinct().collect()}
         if True in kinds:
-            found.append(_brute(_blocks(big.where(stuck)), threshold))
+            found.append(_brute(_blocks(big.where(stuck)), classes, threshold))
         if False not in kinds:
             break
-        rows = _split(big.where(~stuck))
+        rows = _split(big.where(~stuck).join(classes.select("key", "sig"), "key"))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.union(f)
@@ -204,31 +221,114 @@ def _blocks(rows: DataFrame) -> DataFrame:
     """Buckets cut into blocks, and every pair of blocks as a bucket of its own."""
     blocks = F.ceil(F.col("many") / (BUCKET / 2)).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int")
-    rows = rows.select("node", "key", "size", "sig", mine.alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"))
-    return rows.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "key", "size", "sig")
+    rows = rows.select("node", "key", mine.alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"))
+    return rows.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "key")
+
+
+def _routes(pairs: DataFrame) -> DataFrame:
+    """key, routes: the pairs of blocks that a class's set must travel to, and its side there."""
+    sides = pairs.union(pairs.select("b", "a"))
+    lead = sides.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("lead"))
+    many = lead.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("n"))
+    block = F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("n")))
+    members = materialize(lead.join(many, "lead").select("key", block.alias("block")), "members")
+    met = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b")
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # side 0 and 1 are the two blocks; a block with itself is side 2
+    same = F.col("x") == F.col("y")
+    ends = met.select(F.xxhash64("x", "y").alias("p"), F.explode(F.when(same, F.array(F.struct(F.col("x").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))).alias("e"))
+    by_block = ends.groupBy(F.col("e.block").alias("block")).agg(F.collect_list(F.struct("p", F.col("e.side").alias("side"))).alias("routes"))
+    return members.join(by_block, "block").select("key", "routes")
+
+
+def jaccards(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Coefficients of the sets of side 0 with those of side 1, or of all with all; 0 elsewhere."""
+    n = np.array([len(s) for s in sets])
+    owner, flat = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    count = np.diff(np.append(start, len(flat)))
+    # members of one set only meet nothing
+    keep = np.repeat(count > 1, count)
+    owner, column = owner[keep], np.repeat(np.cumsum(count > 1) - 1, count)[keep]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + COLUMNS, COLUMNS))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[owner[a:b], column[a:b] % COLUMNS] = 1
+            common += m @ m.T
+    j = common / np.maximum(n[:, None] + n[None, :] - common, 1)
+    np.fill_diagonal(j, 0)
+    if side[0] != 2:
+        j[side[:, None] == side[None, :]] = 0
+    return j
+
+
+def _stars(linked: np.ndarray) -> np.ndarray:
+    """Number of the first member of each one's component."""
+    label = np.arange(len(linked))
+    while True:
+        low = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1, initial=len(label)))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
 
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, doc_id: str, n: int, threshold: float, links: bool = False) -> DataFrame:
+    """What the exact coefficients of the pairs' blocks give.
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, doc_id: str, n: int, threshold: float) -> DataFrame:
-    """The pairs (a, b, jaccard) whose exact coefficient reaches the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    ids = materialize(classes.join(ends, "key").select(F.col("rep").alias("doc_id"), "key"), "ends")
+    key, root, many: for each linked class of a pair of blocks, a class of its component there
+    and its number of links there. With ``links``, each link: a, b, jaccard.
+    """
+    ids = classes.select("key", F.col("rep").alias("doc_id")).join(_routes(pairs), "key")
+    ids = materialize(ids, "routes")
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = bv.column_bytes(batch.column(1))
+            data, offsets = bv.column_bytes(batch.column(2))
+            routes = batch.column(1)
             for i, j in bv.slices(offsets):
                 d, g = gram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                offs = np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offs), pa.array(g.view(np.int64)))], names=["key", "set"])
+                ends = np.searchsorted(d, np.arange(j - i + 1))
+                rows = [(r["p"], r["side"], k) for k in range(j - i) for r in routes[i + k].as_py()]
+                raw = [g[ends[k] : ends[k + 1]].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in rows], pa.int64()), pa.array([s for _, s, _ in rows], pa.int32()), batch.column(0).take(pa.array([i + k for *_, k in rows], pa.int64())), pa.array([raw[k] for *_, k in rows], pa.binary())], names=["p", "side", "key", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, bytes]] = []
+        now: int | None = None
+
+        def out() -> pa.RecordBatch:
+            rows.sort()
+            key, side = np.array([k for k, *_ in rows], np.int64), np.array([s for _, s, _ in rows])
+            j = jaccards([np.frombuffer(x, np.uint64) for *_, x in rows], side)
+            linked = j >= threshold
+            if links:
+                a, b = np.nonzero(np.triu(linked))
+                return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.array(j[a, b].astype(np.float64))], names=["a", "b", "jaccard"])
+            many = linked.sum(1)
+            at = np.flatnonzero(many)
+            return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(key[_stars(linked)][at]), pa.array(many[at].astype(np.int64))], names=["key", "root", "many"])
+
+        for batch in batches:
+            for p, side, key, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != now:
+                    if len(rows) > 1:
+                        yield out()
+                    rows.clear()
+                    now = p
+                rows.append((key, side, raw))
+        if len(rows) > 1:
+            yield out()
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(ids, "doc_id").select("key", "text")
-    sets = materialize(texts.mapInArrow(run, "key long, set array<long>"), "sets")
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    j = common / (F.size("sa") + F.size("sb") - common)
-    return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(ids, "doc_id").select("key", "routes", "text")
+    sent = texts.mapInArrow(send, "p long, side int, key long, set binary").repartition("p").sortWithinPartitions("p")
+    return sent.mapInArrow(compare, "a long, b long, jaccard double" if links else "key long, root long, many long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,22 +353,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Documents: doc_id, class_id (smallest id among all linked documents), copy_id (smallest id
     among documents with the same set), n_copies (documents with that set), n_links (linked
-    other sets). Links: id_a, id_b (smallest ids of two sets), jaccard.
+    other sets). Links, computed only if used: id_a, id_b (smallest ids of two sets), jaccard.
     """
     docs = one_per_id(docs, text, doc_id)
     sigs = materialize(signatures(docs, text, doc_id, n), "signatures")
-    classes = sigs.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = sigs.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     classes = materialize(classes, "classes")
-    pairs = materialize(candidates(classes.select("key", "size", "sig"), threshold), "pairs")
-    good = verify(pairs, docs, classes, text, doc_id, n, threshold)
-    reps = classes.select("key", "rep")
-    links = good.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b")
-    links = materialize(links.select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"), "jaccard"), "links")
-    roots = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).toDF("rep", "root")
-    degree = links.select(F.explode(F.array("id_a", "id_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    table = classes.select("key", "rep", "n_copies").join(degree, "rep", "left").join(roots, "rep", "left")
+    pairs = materialize(candidates(classes.select("key", "size", "sig", "low"), threshold), "pairs")
+    found = materialize(verify(pairs, docs, classes, text, doc_id, n, threshold), "found")
+    roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    degree = found.groupBy("key").agg(F.sum("many").alias("n_links"))
+    table = classes.select("key", "rep", "n_copies").join(degree, "key", "left").join(roots.toDF("key", "root"), "key", "left")
+    table = table.withColumn("root", F.coalesce("root", "key"))
+    first = table.groupBy("root").agg(F.min("rep").alias("class_id"))
+    table = table.join(first, "root")
     out = sigs.select("doc_id", "key").join(table, "key", "left")
-    return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), links
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    reps = classes.select("key", "rep")
+    links = verify(pairs, docs, classes, text, doc_id, n, threshold, links=True).join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b")
+    return out, links.select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"), "jaccard")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
