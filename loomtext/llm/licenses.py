@@ -39,7 +39,8 @@ class Rules:
     def __init__(self, rules=None):
         rules = load() if rules is None else rules
         self.rules = [(label, pr, conf, frozenset(gate), re.compile(rf"(?<![^ ])(?:{pat})(?![^ ])")) for label, pr, conf, gate, pat in rules]
-        self.gate_words = sorted({w for r in self.rules for w in r[3]})
+        # a version's digit may stand as v2
+        self.gate_words = sorted({v for r in self.rules for w in r[3] for v in ((w, f"v{w}") if w.isdigit() else (w,))})
         hashes = np.array([bv.word_hashes(*_raw(w), latin=False)[1][0] for w in self.gate_words], np.uint64)
         self.known = bv.HashSet(hashes)
         place = np.searchsorted(self.known.values, hashes)
@@ -50,6 +51,8 @@ class Rules:
             self.by_word.setdefault(max(r[3], key=lambda w: (len(w), w)), []).append(i)
 
     def open(self, present: set[str]) -> list[int]:
+        """Numbers of the rules whose gate these words open."""
+        present = present | {w[1:] for w in present if w[0] == "v" and w[1:].isdigit()}
         return sorted(i for w in present for i in self.by_word.get(w, ()) if self.rules[i][3] <= present)
 
     def detect(self, text: str, which: list[int] | None = None) -> list[tuple[str, int, int, float]]:
