@@ -84,10 +84,10 @@ class BlockMaxIndex:
 class Model:
     def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: pd.DataFrame, base: float, neighbours: int):
         self.terms, self.idf, self.base, self.k = terms, idf, base, neighbours
-        some = examples[[len(x) > 0 for x in examples["terms"]]]
+        full = np.array([len(x) > 0 for x in examples["terms"]], bool)
+        some, none = examples[full], examples[~full]
         vectors = [self.vector(t, c) for t, c in zip(some["terms"], some["counts"])]
         self.index = BlockMaxIndex(vectors, [int(x) for x in some["doc_id"]], [int(x) for x in some["label"]]) if len(some) else None
-        none = examples[[len(x) == 0 for x in examples["terms"]]]
         self.without = float((none["label"].sum() + base) / (len(none) + 1))
         raw = np.array([self.vote(v, int(d))[0] for v, d in zip(vectors, some["doc_id"])])
         self.knots = isotonic(raw, some["label"].to_numpy(np.float64)) if len(raw) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
