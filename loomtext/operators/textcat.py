@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+from heapq import nsmallest
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 PROFILE, LONGEST = 400, 5
@@ -38,16 +44,54 @@ def profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFra
     return ranked(grams(docs, [lang], text), [lang])
 
 
-def distances(docs: DataFrame, models: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def distances(docs: DataFrame, models: DataFrame, doc_id: str = "doc_id", text: str = "text", max_models: int = 1000) -> DataFrame:
     """doc_id, lang, distance: summed rank differences, a gram missing from the model counting PROFILE.
 
-    Models hold PROFILE rows a language and are broadcast as long as there are under 1,000 languages.
+    A document's own profile is a function of its text, so it is made in place and nothing is
+    shuffled. Models have PROFILE rows a language; with up to ``max_models`` languages they go
+    to the tasks, with more the profiles are joined.
     """
+    rows = models.select("lang", "gram", "rank").limit(max_models * PROFILE + 1).collect()
+    if len(rows) > max_models * PROFILE:
+        return _joined(docs, models, doc_id, text)
+    langs = sorted({r["lang"] for r in rows})
+    ranks: dict[str, list[tuple[int, int]]] = {}
+    for r in rows:
+        ranks.setdefault(r["gram"], []).append((langs.index(r["lang"]), r["rank"]))
+    words = F.array_join(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), 0), " ")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = lru_cache(1 << 16)(_grams_of)
+        for batch in batches:
+            out: list[tuple] = []
+            for d, line in zip(batch["d"], batch["w"]):
+                n: dict[str, int] = {}
+                for word, c in Counter(line.split(" ") if line else ()).items():
+                    for g in cut(word):
+                        n[g] = n.get(g, 0) + c
+                top = nsmallest(PROFILE, ((-c, g) for g, c in n.items()))
+                apart, hits = [0] * len(langs), [0] * len(langs)
+                for r, (_, g) in enumerate(top, 1):
+                    for k, r2 in ranks.get(g, ()):
+                        apart[k] += abs(r - r2)
+                        hits[k] += 1
+                out += [(d, lang, apart[k] + PROFILE * (len(top) - hits[k])) for k, lang in enumerate(langs) if hits[k]]
+            yield pd.DataFrame(out, columns=[doc_id, "lang", "distance"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("d"), words.alias("w")).mapInPandas(run, f"{doc_id} {kind}, lang string, distance long")
+
+
+def _grams_of(word: str) -> list[str]:
+    p = f"_{word}_"
+    return [p[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(p) - n + 1) if n > 1 or p[i] != "_"]
+
+
+def _joined(docs: DataFrame, models: DataFrame, doc_id: str, text: str) -> DataFrame:
     d = ranked(grams(docs, [doc_id], text), [doc_id])
     size = d.groupBy(doc_id).agg(F.count(F.lit(1)).alias("m"))
-    few = models.select("lang").distinct().limit(1000).count() < 1000
     m = models.select("lang", "gram", F.col("rank").alias("r2"))
-    hits = d.join(F.broadcast(m) if few else m, "gram").groupBy(doc_id, "lang").agg(F.sum(F.abs(F.col("rank") - F.col("r2"))).alias("s"), F.count(F.lit(1)).alias("k"))
+    hits = d.join(m, "gram").groupBy(doc_id, "lang").agg(F.sum(F.abs(F.col("rank") - F.col("r2"))).alias("s"), F.count(F.lit(1)).alias("k"))
     return hits.join(size, doc_id).select(doc_id, "lang", (F.col("s") + PROFILE * (F.col("m") - F.col("k"))).alias("distance"))
 
 

@@ -71,6 +71,8 @@ def test_textcat(spark):
     docs = spark.createDataFrame([(1, "en", "the cat and the dog"), (2, "de", "der hund und die katze")], "doc_id long, lang string, text string")
     pred = textcat.classify(textcat.distances(docs, textcat.profiles(docs)))
     assert {r.doc_id: r.lang_pred for r in pred.collect()} == {1: "en", 2: "de"}
+    joined = textcat.distances(docs, textcat.profiles(docs), max_models=0)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, textcat.distances(docs, textcat.profiles(docs)).collect()))
     assert textcat.candidates(textcat.distances(docs, textcat.profiles(docs))).count() == 2
 
 
