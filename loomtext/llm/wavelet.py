@@ -23,8 +23,10 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.table = _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -72,14 +75,23 @@ class Encoder:
         self.pieces: dict[str, bytes] = _Filled(self._piece)
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return self._ids([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        return self._ids([t.id for t in self.model.tokenize(letters)])
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self.pieces[chunk.lower()]
+            if chunk[-1] in ",." and chunk[:-1].isalpha():
+                return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
         if _SAFE.fullmatch(chunk) and "<|" not in chunk:
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk.lower())))
         return self._ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
@@ -88,6 +100,8 @@ class Encoder:
         if not text:
             return b""
         if self.by_piece:
+            if text.isascii() and "<|" not in text:
+                text = text.lower()
             return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
         return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -134,10 +148,10 @@ class WaveletMatrix:
             bit = (a >> a.dtype.type(bits - 1 - level)) & a.dtype.type(1) != 0
             packed = np.packbits(bit, bitorder="little")
             packed = np.pad(packed, (0, -len(packed) % (BLOCK_BITS // 8)))
-            sums = _ONES[packed].reshape(-1, BLOCK_BITS // 8).sum(1, dtype=np.uint32)
+            sums = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(1, dtype=np.uint32)
             planes.append(packed)
             ranks.append(np.concatenate((np.zeros(1, np.uint32), np.cumsum(sums, dtype=np.uint32))))
-            a = np.concatenate((a[~bit], a[bit]))
+            a = np.concatenate((np.compress(~bit, a), np.compress(bit, a)))
             zeros.append(n - int(sums.sum()))
         return cls(n, bits, zeros, planes, ranks)
 
@@ -177,7 +191,7 @@ class WaveletMatrix:
 
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of an id among the places lo to hi."""
-        lo, hi = self._interval(symbol, lo, self.n if hi is None else hi)
+        lo, hi = self._interval(symbol, lo, max(lo, self.n if hi is None else hi))
         return hi - lo
 
     def _interval(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
@@ -209,8 +223,8 @@ class WaveletMatrix:
         for level in reversed(range(self.bits)):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             b = np.empty(self.n, kind)
-            b[~bit] = a[: self.zeros[level]]
-            b[bit] = a[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            b[np.flatnonzero(~bit)] = a[: self.zeros[level]]
+            b[np.flatnonzero(bit)] = a[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             a = b
         return a
 
