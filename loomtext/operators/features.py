@@ -1,6 +1,7 @@
 """Labelled sparse feature vectors of paragraphs, dictionary encoding and language-model corpora.
 
-Tokens have doc_id, para_id, pos, w. Vocabulary-sized relations are joined, never collected.
+Tokens have doc_id, para_id, pos, w; counts of paragraphs have doc_id, para_id, w, k, and most
+vectors are made from those alone. Vocabulary-sized relations are joined, never collected.
 """
 
 from __future__ import annotations
@@ -16,27 +17,37 @@ def bins(idf: DataFrame, cutoff: float) -> DataFrame:
     return number_rows(few, [-F.col("df"), F.substring("w", 1, 2)], [F.col("w")], "bin").select("w", "idf", F.col("bin").cast("long").alias("bin"))
 
 
-def _weighted(tokens: DataFrame, bin_table: DataFrame) -> DataFrame:
-    """Occurrences in the vocabulary with their document's tf and the term's idf."""
-    n = tokens.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("tf", 0.5 + 0.5 * F.col("n") / F.max("n").over(Window.partitionBy("doc_id")))
-    per = tokens.groupBy("doc_id", "para_id", "w").agg(F.count(F.lit(1)).alias("k"))
-    return per.join(n.select("doc_id", "w", "tf"), ["doc_id", "w"]).join(bin_table, "w")
+def paragraph_counts(tokens: DataFrame) -> DataFrame:
+    """doc_id, para_id, w, k."""
+    return tokens.groupBy("doc_id", "para_id", "w").agg(F.count(F.lit(1)).alias("k"))
+
+
+def document_counts(per: DataFrame) -> DataFrame:
+    """doc_id, w, n from the counts of paragraphs."""
+    return per.groupBy("doc_id", "w").agg(F.sum("k").alias("n"))
 
 
-def lengths(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("doc_id", "para_id").agg(F.count(F.lit(1)).alias("wc"))
+def lengths(per: DataFrame) -> DataFrame:
+    """doc_id, para_id, wc: words of each paragraph."""
+    return per.groupBy("doc_id", "para_id").agg(F.sum("k").alias("wc"))
+
+
+def _weighted(per: DataFrame, bin_table: DataFrame) -> DataFrame:
+    """Counts in the vocabulary with their document's tf and the term's idf."""
+    n = per.withColumn("n", F.sum("k").over(Window.partitionBy("doc_id", "w")))
+    n = n.withColumn("tf", 0.5 + 0.5 * F.col("n") / F.max("n").over(Window.partitionBy("doc_id")))
+    return n.select("doc_id", "para_id", "w", "k", "tf").join(bin_table, "w")
 
 
-def tfidf_vectors(tokens: DataFrame, bin_table: DataFrame, threshold: float = 0.001) -> DataFrame:
+def tfidf_vectors(per: DataFrame, bin_table: DataFrame, threshold: float = 0.001) -> DataFrame:
     """doc_id, para_id, bin, val: summed tf-idf by the paragraph's word count, where the sum exceeds the threshold."""
-    raw = _weighted(tokens, bin_table).withColumn("raw", F.col("k") * F.col("tf") * F.col("idf")).where(F.col("raw") > threshold)
-    return raw.join(lengths(tokens), ["doc_id", "para_id"]).select("doc_id", "para_id", "bin", (F.col("raw") / F.col("wc")).alias("val"))
+    raw = _weighted(per, bin_table).withColumn("raw", F.col("k") * F.col("tf") * F.col("idf")).where(F.col("raw") > threshold)
+    return raw.join(lengths(per), ["doc_id", "para_id"]).select("doc_id", "para_id", "bin", (F.col("raw") / F.col("wc")).alias("val"))
 
 
-def tfc_vectors(tokens: DataFrame, bin_table: DataFrame, threshold: float = 0.001) -> DataFrame:
+def tfc_vectors(per: DataFrame, bin_table: DataFrame, threshold: float = 0.001) -> DataFrame:
     """As :func:`tfidf_vectors`, divided by sqrt(1 + the sum over occurrences of (tf idf) squared)."""
-    w = _weighted(tokens, bin_table).withColumn("x", F.col("tf") * F.col("idf"))
+    w = _weighted(per, bin_table).withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(1 + F.sum(F.col("k") * F.col("x") * F.col("x")).over(Window.partitionBy("doc_id", "para_id")))
     return w.select("doc_id", "para_id", "bin", (F.col("k") * F.col("x")).alias("raw"), norm.alias("d")).where(F.col("raw") > threshold).select("doc_id", "para_id", "bin", (F.col("raw") / F.col("d")).alias("val"))
 
@@ -47,14 +58,14 @@ def doc_norms(counts: DataFrame, idf: DataFrame, default_idf: float = 13.0) -> D
     return counts.join(idf.select("w", "idf"), "w", "left").groupBy("doc_id").agg(F.sqrt(F.sum(x * x)).alias("norm"))
 
 
-def occurrence_vectors(tokens: DataFrame, bin_table: DataFrame, idf: DataFrame, default_idf: float = 13.0, limits: tuple[float, ...] = (7.5, 4.0, 0.12, 0.4), threshold: float = 0.0005) -> DataFrame:
+def occurrence_vectors(tokens: DataFrame, per: DataFrame, bin_table: DataFrame, idf: DataFrame, default_idf: float = 13.0, limits: tuple[float, ...] = (7.5, 4.0, 0.12, 0.4), threshold: float = 0.0005) -> DataFrame:
     """doc_id, para_id, idx, val.
 
     Of the first three occurrences of each term in a document (i = 0, 1, 2), index 4i + 0 to 3
     counts those whose idf exceeds the first two limits and whose running value in the
     paragraph exceeds the last two; 13 holds the number of words; 13 + bin the summed value.
     """
-    n = tokens.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    n = document_counts(per)
     norm = doc_norms(n, idf, default_idf)
     ordinal = F.row_number().over(Window.partitionBy("doc_id", "w").orderBy("para_id", "pos"))
     t = tokens.withColumn("i", ordinal - 1).join(bin_table, "w").join(n, ["doc_id", "w"]).join(norm, "doc_id")
@@ -66,7 +77,7 @@ def occurrence_vectors(tokens: DataFrame, bin_table: DataFrame, idf: DataFrame,
     counters = t.where("i < 3").select("doc_id", "para_id", "i", F.explode(hits).alias("f"))
     counters = counters.groupBy("doc_id", "para_id", (4 * F.col("i") + F.col("f")).cast("long").alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("val"))
     values = t.groupBy("doc_id", "para_id", (13 + F.col("bin")).cast("long").alias("idx")).agg(F.sum("v").alias("val")).where(F.col("val") > threshold)
-    words = lengths(tokens).select("doc_id", "para_id", F.lit(13).cast("long").alias("idx"), F.col("wc").cast("double").alias("val"))
+    words = lengths(per).select("doc_id", "para_id", F.lit(13).cast("long").alias("idx"), F.col("wc").cast("double").alias("val"))
     return counters.unionByName(values).unionByName(words)
 
 

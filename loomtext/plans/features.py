@@ -4,52 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import stopwords
 from ..operators import counts as C, features as X, ml, ngrams as G
+from ..sources.staging import stage
 from .common import LABELS, PARA, documents, labels, para_terms, table, with_
 
 CUTOFF, TRAIN_FOLDS = 7.0, 5
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(paragraph tokens, idf, bins)."""
+def _stats(spark: SparkSession, sf_dir: str, content: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(tokens, counts of paragraphs, idf, bins); what comes after the tokens is staged."""
     t = para_terms(spark, sf_dir)
-    n = C.term_counts(t)
-    i = C.idf(C.document_frequencies(n), C.corpus_size(n))
-    return t, i, X.bins(i, CUTOFF)
+    if content:
+        t = t.where(~stopwords.is_stopword(F.col("w")))
+    per = stage(X.paragraph_counts(t), "paragraph-counts")
+    n = X.document_counts(per)
+    i = stage(C.idf(C.document_frequencies(n), C.corpus_size(n)), "idf")
+    return t, per, i, X.bins(i, CUTOFF)
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir)[2].select("w", "bin")
+    return _stats(spark, sf_dir)[3].select("w", "bin")
 
 
 def tfidf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, _, b = _stats(spark, sf_dir)
-    return X.tfidf_vectors(t, b).withColumn("val", F.round("val", 6))
+    _, per, _, b = _stats(spark, sf_dir)
+    return X.tfidf_vectors(per, b).withColumn("val", F.round("val", 6))
 
 
 def tfc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, _, b = _stats(spark, sf_dir)
-    return X.tfc_vectors(t, b).withColumn("val", F.round("val", 6))
+    _, per, _, b = _stats(spark, sf_dir)
+    return X.tfc_vectors(per, b).withColumn("val", F.round("val", 6))
 
 
 def content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length-normalised vectors over content words only."""
-    from ..functions import stopwords
-
-    t = para_terms(spark, sf_dir).where(~stopwords.is_stopword(F.col("w")))
-    n = C.term_counts(t)
-    i = C.idf(C.document_frequencies(n), C.corpus_size(n))
-    return X.tfidf_vectors(t, X.bins(i, CUTOFF)).withColumn("val", F.round("val", 6))
+    _, per, _, b = _stats(spark, sf_dir, content=True)
+    return X.tfidf_vectors(per, b).withColumn("val", F.round("val", 6))
 
 
 def doc_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, i, _ = _stats(spark, sf_dir)
-    return X.doc_norms(C.term_counts(t), i.where(F.col("idf") < CUTOFF)).select("doc_id", F.round("norm", 5).alias("norm"))
+    _, per, i, _ = _stats(spark, sf_dir)
+    return X.doc_norms(X.document_counts(per), i.where(F.col("idf") < CUTOFF)).select("doc_id", F.round("norm", 5).alias("norm"))
 
 
 def occurrence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, i, b = _stats(spark, sf_dir)
-    return X.occurrence_vectors(t, b, i).withColumn("val", F.round("val", 6))
+    t, per, i, b = _stats(spark, sf_dir)
+    return X.occurrence_vectors(t, per, b, i).withColumn("val", F.round("val", 6))
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each paragraph, its ordinal among paragraphs with words, and how many those are."""
     from pyspark.sql import Window
 
-    w = X.lengths(para_terms(spark, sf_dir))
+    w = X.lengths(X.paragraph_counts(para_terms(spark, sf_dir)))
     doc = Window.partitionBy("doc_id")
     return w.select("doc_id", "para_id", "wc", F.count(F.lit(1)).over(doc).alias("n_paras"), F.row_number().over(doc.orderBy("para_id")).cast("long").alias("ordinal"))
 
@@ -84,12 +85,12 @@ def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = para_terms(spark, sf_dir)
-    return X.encode(t, X.term_dictionary(t)).select("doc_id", "para_id", F.md5("ids").alias("digest"))
+    return X.encode(t, stage(X.term_dictionary(t), "dictionary")).select("doc_id", "para_id", F.md5("ids").alias("digest"))
 
 
 def decode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = para_terms(spark, sf_dir)
-    d = X.term_dictionary(t)
+    d = stage(X.term_dictionary(t), "dictionary")
     return X.decode_counts(X.encode(t, d), d, labels(spark, sf_dir))
 
 
@@ -110,9 +111,9 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def libsvm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, _, b = _stats(spark, sf_dir)
-    f = X.lengths(t).select("doc_id", "para_id", F.lit(1).cast("long").alias("idx"), F.col("wc").cast("double").alias("val"))
-    g = t.join(b, "w").groupBy("doc_id", "para_id", (F.col("bin") + 1).alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("val"))
+    _, per, _, b = _stats(spark, sf_dir)
+    f = X.lengths(per).select("doc_id", "para_id", F.lit(1).cast("long").alias("idx"), F.col("wc").cast("double").alias("val"))
+    g = per.join(b, "w").select("doc_id", "para_id", (F.col("bin") + 1).alias("idx"), F.col("k").cast("double").alias("val"))
     lines = X.libsvm_lines(f.unionByName(g), labels(spark, sf_dir), ["doc_id", "para_id"])
     return lines.select("doc_id", "para_id", F.md5("line").alias("digest"))
 

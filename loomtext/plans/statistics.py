@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import stopwords, tokens
 from ..operators import counts as C, ngrams as G, textcat
+from ..sources.staging import stage
 from .common import CNT, DF, IDF, SENT, SIZE, STOP_SQL, TOK, documents, doc_terms, spread, table, with_
 
 
@@ -13,6 +14,11 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.term_counts(doc_terms(spark, sf_dir))
 
 
+def _staged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For plans that read the counts more than once."""
+    return stage(_counts(spark, sf_dir), "counts")
+
+
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir)
 
@@ -34,12 +40,12 @@ def max_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _counts(spark, sf_dir)
+    n = _staged_counts(spark, sf_dir)
     return C.idf(C.document_frequencies(n), C.corpus_size(n)).select("w", "df", F.round("idf", 6).alias("idf"))
 
 
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _counts(spark, sf_dir)
+    n = _staged_counts(spark, sf_dir)
     return C.tf_idf(n, C.document_frequencies(n), C.corpus_size(n)).select("doc_id", "w", "n", F.round("score", 6).alias("score"))
 
 
@@ -48,7 +54,7 @@ def tf_idf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_turing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = C.good_turing(C.corpus_counts(doc_terms(spark, sf_dir)))
+    g = C.good_turing(stage(C.corpus_counts(doc_terms(spark, sf_dir)), "corpus-counts"))
     return g.select("r", "n_r", F.round("p", 9).alias("p"))
 
 
