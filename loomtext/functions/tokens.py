@@ -131,3 +131,15 @@ def base_kind(token: Column) -> Column:
         .when(token.startswith("ourreference"), "reference")
         .otherwise("word")
     )
+
+
+def replace_word(text: Column, word: str, new: str) -> Column:
+    """Whole words between blanks replaced."""
+    import re
+
+    return F.regexp_replace(text, f"(?<![^ ]){re.escape(word)}(?![^ ])", new.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def utc_time(moment: Column) -> Column:
+    """A readable time in UTC."""
+    return F.concat(F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd HH:mm:ss"), F.lit(" GMT"))

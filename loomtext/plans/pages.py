@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dom, markup, sentences, tokens, trees
+from ..operators import corpus, textcat
 from ..streaming import terms
 from .common import documents, table
 
@@ -82,6 +83,19 @@ def node_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.node_around(n, p)
 
 
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph driver with all steps on."""
+    w = corpus.words_at(table(spark, sf_dir, "pages"), dom_options={"math": "normalize"}, normalize=True, stem=True, mark_end=True)
+    return w.select("page_id", "para_id", "label", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ")).alias("digest"))
+
+
+def english_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents guessed to be English, folded to ASCII."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    kept, _ = corpus.prepare(d, textcat.profiles(d), "en")
+    return kept.select("doc_id", F.md5("text").alias("digest"))
+
+
 def page_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the paragraphs of pages, end to end."""
     p = dom.page_paragraphs(table(spark, sf_dir, "pages"))
@@ -134,7 +148,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (html_text, html_paragraphs, page_anchors, markers, page_tags, range_nodes, dom_text, dom_nodes, dom_paragraphs, node_lookup, node_enclosing, page_sentences, marked_sentences, normalized_marks, mark_tokens, tree_classes, tree_classes_light, stream_terms, event_windows)}
+QUERIES = {f.__name__: f for f in (html_text, html_paragraphs, page_anchors, markers, page_tags, range_nodes, dom_text, dom_nodes, dom_paragraphs, node_lookup, node_enclosing, page_words, english_folded, page_sentences, marked_sentences, normalized_marks, mark_tokens, tree_classes, tree_classes_light, stream_terms, event_windows)}
 
 ORACLES = {
     "html_text": rf"SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT page_id, regexp_replace(regexp_replace(html, '{_SILENT}', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)",

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from loomtext.functions import tokens
-from loomtext.operators import counts, features, ml, ngrams, ranking, textcat
+from loomtext.operators import corpus, counts, features, ml, ngrams, ranking, textcat
 from loomtext.sources import readers, writers
 from loomtext.streaming import terms
 
@@ -118,3 +118,31 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("a b a",)], "text string").write.parquet(src)
     terms.run_available(terms.running_counts(spark.readStream.schema("text string").parquet(src)), "t_terms", "complete", str(tmp_path / "cp"))
     assert {r.w: r.n for r in spark.table("t_terms").collect()} == {"a": 2, "b": 1}
+
+
+def test_words_at(spark):
+    pages = spark.createDataFrame([(1, '<div class="ltx_para">There are 12 numbers. Studies go.</div>'), (2, None)], "page_id int, html string")
+    got = corpus.words_at(pages, normalize=True, stem=True, mark_end=True).collect()
+    assert [r.words for r in got] == ["there be nnumber number . endofsentence study go . endofsentence".split()]
+    assert corpus.words_at(pages, alpha_only=True, drop_stopwords=True).collect()[0].words == ["numbers", "Studies", "go"]
+
+
+def test_prepare(spark):
+    docs = spark.createDataFrame([(1, "en", "the cat and the dog"), (2, "de", "der hünd und die katze"), (3, "en", None)], "doc_id long, lang string, text string")
+    kept, rejected = corpus.prepare(docs, textcat.profiles(docs), "de")
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [(2, "der hund und die katze")]
+    assert sorted(r.doc_id for r in rejected.collect()) == [1, 3]
+    assert corpus.prepare(docs)[0].count() == 3
+
+
+def test_tags_and_lookup(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"], ["X"])], "k int, w array<string>, t array<string>")
+    assert [(r.word_id, r.word, r.tag) for r in corpus.zip_tags(rows, "w", "t", ["k"]).collect()] == [(1, "a", "X"), (2, "b", None)]
+    table = spark.createDataFrame([(1, "MathExpr-1", "<m/>")], "k int, mark string, node string")
+    marks = spark.createDataFrame([(1, "MathExpr-1) "), (1, "no")], "k int, mark string")
+    assert {r.mark: r.node for r in corpus.lookup(marks, table, ["k"]).collect()} == {"MathExpr-1": "<m/>", "no": None}
+
+
+def test_replace_word_and_time(spark):
+    row = spark.createDataFrame([("a b ab a",)], "x string").select(tokens.replace_word(F.col("x"), "a", "$").alias("y"), tokens.utc_time(F.timestamp_seconds(F.lit(0))).alias("t")).collect()[0]
+    assert (row.y, row.t) == ("$ b ab $", "1970-01-01 00:00:00 GMT")
