@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import dom, markup, sentences, tokens, trees
 from ..operators import corpus, textcat
 from ..streaming import terms
-from .common import documents, table
+from .common import documents, spread, table, with_
+from .statistics import _BEST, _DIST, _DOCG, _PROF
+from .text import _ascii_sql
 
 _SILENT = r"(?is)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->"
 
@@ -91,7 +93,7 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def english_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents guessed to be English, folded to ASCII."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     kept, _ = corpus.prepare(d, textcat.profiles(d), "en")
     return kept.select("doc_id", F.md5("text").alias("digest"))
 
@@ -151,6 +153,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (html_text, html_paragraphs, page_anchors, markers, page_tags, range_nodes, dom_text, dom_nodes, dom_paragraphs, node_lookup, node_enclosing, page_words, english_folded, page_sentences, marked_sentences, normalized_marks, mark_tokens, tree_classes, tree_classes_light, stream_terms, event_windows)}
 
 ORACLES = {
+    "english_folded": with_(_PROF, _DOCG, _DIST, _BEST) + f"SELECT doc_id, md5({_ascii_sql()}) AS digest FROM documents JOIN best USING (doc_id) WHERE lang_pred = 'en'",
     "html_text": rf"SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT page_id, regexp_replace(regexp_replace(html, '{_SILENT}', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)",
     "html_paragraphs": "SELECT page_id, generate_subscripts(a, 1) - 1 AS para_id, md5(unnest(a)) AS digest FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS a FROM pages)",
     "page_anchors": "SELECT page_id, anchor, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)) AS anchor FROM pages) GROUP BY 1, 2",
