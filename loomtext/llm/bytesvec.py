@@ -1,17 +1,18 @@
 """Words, word hashes and n-gram hashes of whole Arrow text columns, vectorised over their UTF-8 bytes.
 
 Texts are never turned into Python strings here: an Arrow string column is one byte
-buffer with offsets, which is worked through in slices of about a megabyte.
+buffer with offsets, which is worked through in slices of about a quarter of a megabyte.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 #: Word bytes: ASCII digits and letters, and every byte of a character beyond ASCII.
 WORD = np.zeros(256, bool)
@@ -29,6 +30,20 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker gives unused memory back: it will be used again."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not every C library has it
+            pass
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * _M1

@@ -153,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                 d = batch.column(0).take(pa.array([r for r, *_ in found]))
                 yield _record(found, [len(items.words[k]) for _, k, _ in found], d, pa.array([ids[k] for _, k, _ in found], id_type))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(bv.lean(run), schema)
 
 
 def _joined(docs: DataFrame, items: DataFrame, schema: str, s: int, threshold: float) -> DataFrame:
@@ -176,8 +176,8 @@ def _joined(docs: DataFrame, items: DataFrame, schema: str, s: int, threshold: f
     # rows are keyed by their content, so equal rows are tiled once and rejoined
     d = docs.withColumn("k", F.xxhash64("doc_id", "text"))
     t = items.withColumn("q", F.xxhash64("item_id", "item"))
-    left = d.select("k", "text").dropDuplicates(["k"]).mapInArrow(seeds, "k long, seed long")
-    right = t.select("q", "item").dropDuplicates(["q"]).mapInArrow(seeds, "k long, seed long").withColumnRenamed("k", "q")
+    left = d.select("k", "text").dropDuplicates(["k"]).mapInArrow(bv.lean(seeds), "k long, seed long")
+    right = t.select("q", "item").dropDuplicates(["q"]).mapInArrow(bv.lean(seeds), "k long, seed long").withColumnRenamed("k", "q")
     pairs = left.join(right, "seed").groupBy("k", "q").count().drop("count")
     both = pairs.join(t.dropDuplicates(["q"]), "q").join(d, "k").select("doc_id", "text", "item_id", "item")
 
@@ -193,7 +193,7 @@ def _joined(docs: DataFrame, items: DataFrame, schema: str, s: int, threshold: f
                 at = pa.array([r for r, *_ in found])
                 yield _record(found, words, batch.column(0).take(at), batch.column(2).take(at))
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(bv.lean(run), schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_tile: int = MIN_TILE, threshold: float = THRESHOLD, max_broadcast_bytes: int = MAX_BROADCAST) -> DataFrame:
@@ -215,4 +215,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                 keep[r] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bv.lean(run), docs.schema)

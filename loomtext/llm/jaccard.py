@@ -43,7 +43,7 @@ COORDINATES, RUNS, CHOICES, BUCKET, DEPTH = 64, 5, 2, 256, 8
 MEMBERS, COLUMNS = 128, 1 << 14
 #: Agreeing coordinates below which a pair is dropped: 4 standard deviations under the threshold.
 SLACK = 4.0
-#: Ids that may be broadcast instead of shuffling texts: 16 bytes each.
+#: Ids, with their routes, that may be broadcast instead of shuffling texts: about 16 bytes each.
 MAX_BROADCAST_IDS = 500_000
 
 _rng = np.random.default_rng(77)
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key.view(np.int64), mask=size == 0), pa.ListArray.from_arrays(offs, pa.array(sig.ravel())), _fixed(sig.astype(np.uint8))], names=["doc_id", "size", "key", "sig", "low"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, size long, key long, sig array<smallint>, low binary")
+    return rows.mapInArrow(bv.lean(run), f"doc_id {kind}, size long, key long, sig array<smallint>, low binary")
 
 
 def one_per_id(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -161,6 +161,11 @@ def bucket_pairs(sizes: np.ndarray, sig: np.ndarray, node: np.ndarray, key: np.n
     return pairs[0], pairs[1]
 
 
+def _by(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key in a fixed number of partitions: merged by bytes, those with most comparisons would share a task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _brute(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs within the buckets of ``rows`` (node, key), each bucket of bounded size.
 
@@ -191,7 +196,7 @@ def _brute(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             yield out(rest)
 
     rows = rows.select("node", "key").join(classes.select("key", "size", "low"), "key").select("node", "key", "size", "low")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return _by(rows, "node").sortWithinPartitions("node").mapInArrow(bv.lean(run), "a long, b long")
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
@@ -285,7 +290,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, doc
     """
     ids = classes.select("key", F.col("rep").alias("doc_id")).join(_routes(pairs), "key")
     ids = materialize(ids, "routes")
-    if ids.count() <= MAX_BROADCAST_IDS:
+    if (ids.agg(F.sum(1 + F.size("routes"))).collect()[0][0] or 0) <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,8 +332,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, doc
             yield out()
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(ids, "doc_id").select("key", "routes", "text")
-    sent = texts.mapInArrow(send, "p long, side int, key long, set binary").repartition("p").sortWithinPartitions("p")
-    return sent.mapInArrow(compare, "a long, b long, jaccard double" if links else "key long, root long, many long")
+    sent = _by(texts.mapInArrow(bv.lean(send), "p long, side int, key long, set binary"), "p").sortWithinPartitions("p")
+    return sent.mapInArrow(bv.lean(compare), "a long, b long, jaccard double" if links else "key long, root long, many long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
 
     # ``chosen`` has at most per_language rows a language, so it is broadcast
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    got = texts.mapInPandas(cut, "lang string, w binary").toPandas()
+    got = texts.mapInPandas(bv.lean(cut), "lang string, w binary").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["lang", "w"], kind="stable")
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text", doc_id:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(bv.lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: ByteCNN | None, text: str = "text", min_score: float = 0.0) -> DataFrame:
@@ -230,4 +230,4 @@ def keep_identified(docs: DataFrame, model: ByteCNN | None, text: str = "text",
             keep = (np.array(names, object) != "und") & (scores >= min_score)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bv.lean(run), docs.schema)

@@ -106,7 +106,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules=None
         for batch in batches:
             yield _scan(batch, engine, phrases)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA.format(id=kind))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(bv.lean(run), SCHEMA.format(id=kind))
 
 
 def _scan(batch: pa.RecordBatch, engine: Rules, phrases: list) -> pa.RecordBatch:

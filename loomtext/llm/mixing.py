@@ -55,7 +55,7 @@ def sized(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n)], names=["doc_id", "source", "hash", "size"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text).cast("string")).alias("hash"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kinds[0]}, source {kinds[1]}, hash long, size long")
+    return rows.mapInArrow(bv.lean(run), f"doc_id {kinds[0]}, source {kinds[1]}, hash long, size long")
 
 
 def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -128,7 +128,7 @@ def draws(goals: DataFrame, seed: int, block: int = BLOCK, shard_slots: int = SH
                     p = at[k : k + 100_000]
                     yield pd.DataFrame({"rank": rank, "blocks": n, "shard": p, "first": first[p], "slots": count[p]})
 
-    return rows.mapInPandas(run, "rank long, blocks long, shard long, first long, slots long")
+    return rows.mapInPandas(bv.lean(run), "rank long, blocks long, shard long, first long, slots long")
 
 
 def slots(drawn: DataFrame, seed: int) -> DataFrame:
@@ -145,7 +145,7 @@ def slots(drawn: DataFrame, seed: int) -> DataFrame:
                 yield pd.DataFrame({"shard": shard, "slot": j, "rank": rank, "block": out})
 
     cells = drawn.repartition(F.xxhash64("rank", "shard"))
-    return cells.select("rank", "blocks", "shard", "first", "slots").mapInPandas(run, "shard long, slot long, rank long, block long")
+    return cells.select("rank", "blocks", "shard", "first", "slots").mapInPandas(bv.lean(run), "shard long, slot long, rank long, block long")
 
 
 def overlaps(placed: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -199,7 +199,8 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # few texts at a time become Python strings
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             texts = []
             for t, size, parts in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
                 texts.append(_take(t, size, [(p["lo"], p["hi"], p["times"]) for p in parts]))
@@ -210,7 +211,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
                 columns[k] = pa.array([len(t) for t in texts], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select(*names, "__size", "__parts").mapInArrow(run, rows.select(*names).schema)
+    return rows.select(*names, "__size", "__parts").mapInArrow(bv.lean(run), rows.select(*names).schema)
 
 
 def _repeats(docs: DataFrame, doc_id: str) -> bool:

@@ -151,7 +151,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def select_terms(docs: DataFrame, sample: DataFrame, n_pos: int, n_neg: int, text: str, doc_id: str, max_terms: int) -> np.ndarray:
     """Hashes of the words that mark toxic documents of the sample."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
-    c = texts.mapInArrow(_class_counts, "h long, p long, n long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    c = texts.mapInArrow(bv.lean(_class_counts), "h long, p long, n long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     p, n, a, b = F.col("p"), F.col("n"), float(max(n_pos, 1)), float(max(n_neg, 1))
     df, total = p + n, a + b
     chi2 = total * F.pow(p * (b - n) - n * (a - p), 2) / (a * b * df * (total - df + 0.5))
@@ -180,7 +180,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray, text: str, doc_id: str) -> D
             flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int32()) for x in (ts, cs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(offs, x) for x in flat)], names=["doc_id", "terms", "counts"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(bv.lean(run), f"doc_id {kind}, terms array<int>, counts array<int>")
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = 2000, negatives: int = 6000, max_terms: int = 1024, neighbours: int = 15, threshold: float = 0.7) -> DataFrame:
@@ -213,4 +213,4 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(sizes), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "n_terms", "evidence"])
 
     rows = counted.select("doc_id", held_out("doc_id").alias("held_out"), "terms", "counts")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_terms int, evidence array<long>")
+    return rows.mapInArrow(bv.lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int, n_terms int, evidence array<long>")

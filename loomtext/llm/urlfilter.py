@@ -146,7 +146,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
             verdict = [by_model[i] if k is None else verdicts[k] for i, k in enumerate(which)]
             yield pa.RecordBatch.from_arrays([ids, host, path, pa.array([None if k is None else names[k] for k in which], pa.string()), pa.array([str(v) for v in verdict], pa.string()), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return p.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return p.mapInArrow(bv.lean(run), f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
 def hash_bytes(raw: bytes) -> int:

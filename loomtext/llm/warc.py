@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from . import bytesvec as bv
 from .scratch import filesystem, materialize, new_path
 
 CHUNK, ARCHIVE, REVISIT_BYTES, MAX_BROADCAST, SALTS = 1 << 20, 64 << 20, 1000, 200_000, 16
@@ -182,7 +183,7 @@ def write_archives(pages: DataFrame, directory: str, page_id: str = "page_id", u
             yield pa.RecordBatch.from_pylist([{"path": path, "records": writer.records, "bytes": writer.size}], _MANIFEST)
 
     rows = with_types(pages, page_id, url, payload, revisit_bytes, max_broadcast)
-    return rows.mapInArrow(run, "path string, records long, bytes long")
+    return rows.mapInArrow(bv.lean(run), "path string, records long, bytes long")
 
 
 _CHUNKS = "record_id string, chunk int, last boolean, record_type string, page_id string, url string, refers_to string, data binary, payload_bytes long, payload_digest string"
@@ -224,7 +225,7 @@ def read_chunks(manifest: DataFrame, directory: str, chunk: int = CHUNK, with_da
             yield out()
 
     spread = manifest.sparkSession.sparkContext.defaultParallelism * 4
-    return manifest.select("path").repartition(spread, "path").mapInArrow(run, _CHUNKS)
+    return manifest.select("path").repartition(spread, "path").mapInArrow(bv.lean(run), _CHUNKS)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:

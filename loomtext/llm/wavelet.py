@@ -35,6 +35,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import bytesvec as bv
 from .scratch import filesystem, materialize, new_path
 
 MAGIC, BLOCK_BITS, SHARD, CACHE = b"WVMX0001", 512, 1 << 20, 250_000
@@ -305,7 +306,7 @@ def write_shards(docs: DataFrame, tokenizer: str, directory: str, text: str = "t
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return rows.mapInArrow(run, "part int, shard int, path string, docs long, tokens long")
+    return rows.mapInArrow(bv.lean(run), "part int, shard int, path string, docs long, tokens long")
 
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
@@ -333,7 +334,7 @@ def read_shards(manifest: DataFrame, id_type: str, directory: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(base + ends - sizes), docs.column(1), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.sparkSession.sparkContext.defaultParallelism * 4
-    return files.repartition(spread, "path").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(spread, "path").mapInArrow(bv.lean(run), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 1) -> DataFrame:
