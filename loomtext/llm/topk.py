@@ -1,7 +1,8 @@
 """Exact top-k inner products with block-at-a-time pruning.
 
 Vectors are documents whose terms are the dimensions, with integer weights. Documents are cut
-by ranges of their id into chunks of ``CHUNK``, and a chunk into blocks of ``BLOCK`` documents;
+by ranges of their id into chunks, a few for each core but of at most ``CHUNK``, and a chunk into
+blocks of ``BLOCK`` documents;
 a block has each term's largest and smallest weight and a forward index, the block's vectors.
 For a query, blocks are ordered by the sum of the terms' extreme contributions, an upper bound
 of every score within, and scored through their forward index until the bound falls below the
@@ -27,9 +28,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import bytesvec as bv
 from .scratch import materialize
 
-K, CHUNK, BLOCK, QUERIES = 20, 4096, 256, 4096
+K, CHUNK, LEAST, BLOCK, QUERIES = 20, 1 << 16, 2048, 256, 4096
 
 
 def quantize(vector: Column, scale: int = 64) -> Column:
@@ -66,7 +68,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         if vectors:
             yield out(len(vectors))
 
-    return rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(run, "part int, number int, ids binary, width int, weights binary")
+    return rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(bv.lean(run), "part int, number int, ids binary, width int, weights binary")
 
 
 def _unpack(ids: bytes, width: int, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,8 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantize(F.col(vector), scale).alias("v")).where("vec_id is not null and v is not null")
     rows = materialize(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    chunks, queries = materialize(_packed(rows, CHUNK), "chunks"), materialize(_packed(rows.where(is_query), QUERIES), "queries")
+    each = -(-rows.count() // (3 * rows.sparkSession.sparkContext.defaultParallelism))
+    chunks, queries = materialize(_packed(rows, min(CHUNK, max(LEAST, each))), "chunks"), materialize(_packed(rows.where(is_query), QUERIES), "queries")
 
     # a few numbers for each chunk; the grid of pairings names both by their place in it
     def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -156,7 +159,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
                 i, found, score = BlockIndex(*_unpack(ids, width, weights)).search(names, queries, k)
                 yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("ids", "width", "weights", "qids", "qwidth", "qweights").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.select("ids", "width", "weights", "qids", "qwidth", "qweights").mapInArrow(bv.lean(run), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
