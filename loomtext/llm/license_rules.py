@@ -1,8 +1,9 @@
 """Hand-written licence signatures over word strings.
 
 A text is looked at as its lower-case words joined by single blanks, so the patterns
-need no punctuation. A line is ``label | priority | confidence | gate | pattern``; a rule
-is tried only on texts that hold every word of its gate. Patterns match whole words.
+need no punctuation. A line is ``label | priority | confidence | hint | pattern``; the hint
+names a rule's tell-tale words for the reader, what gates the rule is derived from its
+pattern. Patterns match whole words.
 ``V`` stands for an optional "v" or "version" before a number.
 """
 
@@ -258,7 +259,7 @@ dmca | 4 | .7 | dmca | dmca(?: takedown)?(?: notice)?
 
 
 def load() -> list[tuple[str, int, float, tuple[str, ...], str]]:
-    """The rules in their order: label, priority, confidence, gate words, pattern."""
+    """The rules in their order: label, priority, confidence, hint words, pattern."""
     rules = []
     for line in TABLE.strip().splitlines():
         label, priority, confidence, gate, pattern = (x.strip() for x in line.split(" | ", 4))

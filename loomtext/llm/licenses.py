@@ -3,7 +3,8 @@
 Words are the runs of ASCII letters and digits and characters beyond ASCII, after A-Z is
 lower-cased. Word hashes of whole texts settle, vectorised, which texts hold a *base phrase*
 and which hold all gate words of any rule; only the latter are decoded and matched, rule by
-rule in order. Detections that lie within, or overlap, one of higher priority (then longer,
+rule in order. A rule's gates are derived from its pattern: what it matches always holds all
+words of one of them, so the gate loses nothing. Detections that lie within, or overlap, one of higher priority (then longer,
 then earlier) are suppressed. The scan is one map over the rows without a shuffle.
 
 Defined results: null and empty texts have no words, no labels and score 0; null ids pass
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from re import _constants as sre, _parser
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +35,69 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 SCHEMA = "doc_id {id}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
+#: Left out of a gate that has other words: too common to keep a text from being matched.
+COMMON = frozenset("a and any are as be by do for from in is may not of on or org some the this to under use with you".split())
+#: Stands for what a pattern leaves open.
+_OPEN = "\0"
+
+
+def _spellings(parsed) -> set[str]:
+    """What a parsed pattern matches, with ``_OPEN`` for wide classes and long repeats."""
+    out = {""}
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            part = {chr(arg)}
+        elif op is sre.IN:
+            part = {chr(x) for kind, v in arg for x in ([v] if kind is sre.LITERAL else range(v[0], v[1] + 1) if kind is sre.RANGE else ())}
+            if len(part) > 4 or any(kind not in (sre.LITERAL, sre.RANGE) for kind, _ in arg):
+                part = {_OPEN}
+        elif op is sre.SUBPATTERN:
+            part = _spellings(arg[-1])
+        elif op is sre.BRANCH:
+            part = set().union(*map(_spellings, arg[1]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[1] == 1:
+            part = _spellings(arg[2]) | ({""} if arg[0] == 0 else set())
+        else:
+            part = {_OPEN}
+        out = {x + y for x in out for y in part}
+    return out
+
+
+def gates_of(pattern: str) -> list[frozenset[str]]:
+    """Smallest sets of words of which a text that the pattern matches holds at least one whole."""
+    sets = set()
+    for spelling in _spellings(_parser.parse(pattern)):
+        # v2 opens what 2 opens
+        words = {w[1:] if w[0] == "v" and w[1:].isdigit() else w for w in spelling.split(" ") if w and _OPEN not in w}
+        sets.add(frozenset(words - COMMON or words))
+    return sorted((x for x in sets if not any(y < x for y in sets)), key=sorted)
+
+
 class Rules:
-    """Compiled rules with the gate that opens them."""
+    """Compiled rules with the gates that open them."""
 
     def __init__(self, rules=None):
         rules = load() if rules is None else rules
-        self.rules = [(label, pr, conf, frozenset(gate), re.compile(rf"(?<![^ ])(?:{pat})(?![^ ])")) for label, pr, conf, gate, pat in rules]
+        self.rules = [(label, pr, conf, gates_of(pat), re.compile(rf"(?<![^ ])(?:{pat})(?![^ ])")) for label, pr, conf, _, pat in rules]
         # a version's digit may stand as v2
-        self.gate_words = sorted({v for r in self.rules for w in r[3] for v in ((w, f"v{w}") if w.isdigit() else (w,))})
+        self.gate_words = sorted({v for r in self.rules for gate in r[3] for w in gate for v in ((w, f"v{w}") if w.isdigit() else (w,))})
         hashes = np.array([bv.word_hashes(*_raw(w), latin=False)[1][0] for w in self.gate_words], np.uint64)
         self.known = bv.HashSet(hashes)
         place = np.searchsorted(self.known.values, hashes)
         self.word_at = {int(p): w for p, w in zip(place, self.gate_words)}
-        #: Each rule is filed under its rarest-looking (longest) gate word.
-        self.by_word: dict[str, list[int]] = {}
+        #: Each gate is filed under its rarest-looking (longest) word.
+        self.by_word: dict[str, list[tuple[int, frozenset[str]]]] = {}
+        #: Rules whose pattern demands no word are tried on every text.
+        self.always = {i for i, r in enumerate(self.rules) if frozenset() in r[3]}
         for i, r in enumerate(self.rules):
-            self.by_word.setdefault(max(r[3], key=lambda w: (len(w), w)), []).append(i)
+            for gate in r[3]:
+                if gate:
+                    self.by_word.setdefault(max(gate, key=lambda w: (len(w), w)), []).append((i, gate))
 
     def open(self, present: set[str]) -> list[int]:
-        """Numbers of the rules whose gate these words open."""
+        """Numbers of the rules of which these words open a gate."""
         present = present | {w[1:] for w in present if w[0] == "v" and w[1:].isdigit()}
-        return sorted(i for w in present for i in self.by_word.get(w, ()) if self.rules[i][3] <= present)
+        return sorted(self.always | {i for w in present for i, gate in self.by_word.get(w, ()) if gate <= present})
 
     def detect(self, text: str, which: list[int] | None = None) -> list[tuple[str, int, int, float]]:
         """Kept detections of a text: label, first word, end word, confidence."""
@@ -65,7 +109,7 @@ class Rules:
             at += len(w) + 1
         found = []
         for i in range(len(self.rules)) if which is None else which:
-            label, priority, conf, gate, pattern = self.rules[i]
+            label, priority, conf, _, pattern = self.rules[i]
             for m in pattern.finditer(joined):
                 a, b = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1)
                 found.append((-priority, a - b, a, i, b, label, conf))
@@ -96,7 +140,8 @@ def _raw(word: str) -> tuple[np.ndarray, np.ndarray]:
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules=None) -> DataFrame:
     """One row per row of ``docs``; see the module for what the columns hold.
 
-    ``rules`` replaces the built-in table: (label, priority, confidence, gate words, pattern).
+    ``rules`` replaces the built-in table: (label, priority, confidence, hint, pattern). Gates
+    come from the pattern; the hint, a rule's tell-tale words, decides nothing.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -139,7 +184,7 @@ def _scan(batch: pa.RecordBatch, engine: Rules, phrases: list) -> pa.RecordBatch
             for d, p in np.unique(np.stack([doc[at], place]), axis=1).T:
                 more.setdefault(int(d) + i, []).append(engine.word_at[int(p)])
     labels, score = [""] * rows, np.zeros(rows)
-    for d in base.keys() | more.keys():
+    for d in range(rows) if engine.always else base.keys() | more.keys():
         which = engine.open(set(more.get(d, ())))
         got = set(base.get(d, ()))
         conf = [BASE_CONFIDENCE] if got else []
