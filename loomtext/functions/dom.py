@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -259,6 +260,29 @@ def node_at(node_table: DataFrame, offsets: DataFrame) -> DataFrame:
     return hit.groupBy("page_id", "offset").agg(F.max(F.struct("depth", "node_id")).alias("m")).select("page_id", "offset", F.col("m.node_id").alias("node_id"))
 
 
+def nodes_at(pages: DataFrame, pattern: str, page: str = "html", page_id: str = "page_id", **options) -> DataFrame:
+    """``node_at`` for every match of ``pattern`` in the plain text, page by page without a join: page_id, offset, node_id."""
+    opt = Options(**options)
+
+    @F.pandas_udf("struct<offset:array<int>,node_id:array<int>>")
+    def run(col: pd.Series) -> pd.DataFrame:
+        token, offsets, found = re.compile(pattern, re.ASCII), [], []
+        for p in col:
+            text, rows = ("", []) if p is None else flatten(parse(p), opt)
+            deepest = np.full(len(text), -1, np.int32)
+            # a deeper node overwrites what it covers
+            for n in sorted(rows, key=lambda n: (n["depth"], n["node_id"])):
+                deepest[n["start"] : n["end"]] = n["node_id"]
+            at = np.fromiter((m.start() for m in token.finditer(text)), np.int32)
+            at = at[deepest[at] >= 0]
+            offsets.append(at)
+            found.append(deepest[at])
+        return pd.DataFrame({"offset": offsets, "node_id": found})
+
+    n = pages.select(F.col(page_id).alias("page_id"), run(F.col(page)).alias("n"))
+    return n.select("page_id", F.explode(F.arrays_zip("n.offset", "n.node_id")).alias("x")).select("page_id", "x.offset", "x.node_id")
+
+
 def node_around(node_table: DataFrame, ranges: DataFrame) -> DataFrame:
     """Deepest node that holds each (page_id, from, to), end exclusive."""
     r = ranges.select(F.col("page_id").alias("p"), "from", "to")

@@ -1,7 +1,11 @@
-"""Tokens and token predicates, as column expressions that stay in the JVM."""
+"""Tokens and token predicates, as column expressions that stay in the JVM; only offsets of tokens don't."""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Pattern of a plain term, after lower-casing.
@@ -45,6 +49,18 @@ def words(text: Column, alpha_only: bool = False) -> Column:
     return F.filter(found, lambda x: has_alpha(x)) if alpha_only else found
 
 
+def starts(text: Column, pattern: str = WORD) -> Column:
+    """Array of the 0-based offsets at which the tokens of a text begin; null stays null."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        # blanks are ASCII only, as in the JVM's patterns
+        token = re.compile(pattern, re.ASCII)
+        return texts.map(lambda t: None if t is None else np.fromiter((m.start() for m in token.finditer(t)), np.int32))
+
+    return run(text)
+
+
 def has_alpha(word: Column) -> Column:
     return word.rlike("[A-Za-z]")
 

@@ -46,19 +46,30 @@ def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(t).alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def range_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens in the line that holds them, by an equi-join on the document with a range residual."""
-    d = documents(spark, sf_dir)
+def _in_lines(d: DataFrame, marks: DataFrame) -> DataFrame:
+    """Number and first offset of the marks (doc_id, offset) in each line, by an equi-join on the document with a range residual."""
     lines = tokens.paragraphs(d).withColumn("size", F.length("para"))
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum(F.col("size") + 1).over(Window.partitionBy("doc_id").orderBy("para_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = lines.select(F.col("doc_id").alias("d"), "para_id", before.alias("start"), (before + F.col("size")).alias("end"))
-    marks = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(50))).alias("offset")).where("offset >= 0")
     hit = marks.join(spans, (F.col("doc_id") == F.col("d")) & (F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end")))
     return hit.groupBy("doc_id", "para_id").agg(F.count(F.lit(1)).alias("n"), F.min("offset").cast("long").alias("first_offset"))
 
 
+def range_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th character in the line that holds it, as in the query's SQL; ``range_tokens`` has all tokens."""
+    d = documents(spark, sf_dir)
+    return _in_lines(d, d.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(50))).alias("offset")).where("offset >= 0"))
+
+
+def range_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens in the line that holds them."""
+    # shuffled once, as texts: lines and tokens are cut where they are joined
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    return _in_lines(d, d.select("doc_id", F.explode(tokens.starts(F.col("text"))).alias("offset")))
+
+
 def dom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "pages").select("page_id", dom.plain_text(F.col("html"), math="normalize", cite="normalize", drop_notes=True).alias("t"))
     return t.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
@@ -74,9 +85,8 @@ def dom_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = dom.nodes(table(spark, sf_dir, "pages"))
-    root = n.where("node_id = 0").select("page_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("end") - 1, F.lit(0)), F.lit(200))).alias("offset"))
-    return dom.node_at(n, root)
+    """The deepest node around the first character of every token of a page."""
+    return dom.nodes_at(table(spark, sf_dir, "pages"), tokens.WORD)
 
 
 def node_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +160,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (html_text, html_paragraphs, page_anchors, markers, page_tags, range_nodes, dom_text, dom_nodes, dom_paragraphs, node_lookup, node_enclosing, page_words, english_folded, page_sentences, marked_sentences, normalized_marks, mark_tokens, tree_classes, tree_classes_light, stream_terms, event_windows)}
+QUERIES = {f.__name__: f for f in (html_text, html_paragraphs, page_anchors, markers, page_tags, range_nodes, range_tokens, dom_text, dom_nodes, dom_paragraphs, node_lookup, node_enclosing, page_words, english_folded, page_sentences, marked_sentences, normalized_marks, mark_tokens, tree_classes, tree_classes_light, stream_terms, event_windows)}
 
 ORACLES = {
     "english_folded": with_(_PROF, _DOCG, _DIST, _BEST) + f"SELECT doc_id, md5({_ascii_sql()}) AS digest FROM documents JOIN best USING (doc_id) WHERE lang_pred = 'en'",
