@@ -527,6 +527,20 @@ def test_markov_matches_definition():
     assert np.allclose(m.log_probs(*urlfilter.frame([b"abz"], 2)), want)
 
 
+def test_urls_count_all_examples(spark):
+    rng = random.Random(4)
+    urls = [f"http://{rng.choice(WORDS)}{i}.{'com/en' if i % 2 else 'net/de'}/{rng.randrange(999)}" for i in range(300)] + ["http://x.org/fr/é", None, ""]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(d).collect()}
+    joined = {r.page_id: r for r in urlfilter.judge(d, max_grams=0).collect()}
+    held = {r.url for r in d.where(F.pmod(F.xxhash64("url"), F.lit(5)) == 0).collect()}
+    models = [urlfilter.Markov([u.encode() for i, u in enumerate(urls[:300]) if i % 2 == odd and u not in held]) for odd in (0, 1)]
+    want = urlfilter.difference(models, [(u or "").encode() for u in urls])
+    for i in range(len(urls)):
+        assert math.isclose(got[i].score, want[i], abs_tol=1e-12) and math.isclose(joined[i].score, want[i], abs_tol=1e-9)
+        assert got[i].verdict == joined[i].verdict
+
+
 # ---- 10: licences
 
 def brute_base(text):
