@@ -225,6 +225,21 @@ def test_near_duplicates_edges(spark):
     assert jaccard.near_duplicates(docs(spark, []))[0].count() == 0
 
 
+def test_recall_after_splits(spark):
+    # pairs at the threshold: each coordinate agrees by chance 0.5; every bucket is split five times
+    rng, n = np.random.default_rng(6), 1500
+    a, b = rng.integers(-(2**15), 2**15, (2, n, jaccard.COORDINATES))
+    b = np.where(rng.random(b.shape) < 0.5, a, b)
+    sets = [(2 * k + side, x[k].tolist()) for k in range(n) for side, x in enumerate((a, b))]
+    classes = spark.createDataFrame(sets, "key long, sig array<smallint>").cache()
+    together = lambda rows: rows.join(rows.groupBy("node").agg(F.count_distinct("key").alias("many"), F.count_distinct(F.floor(F.col("key") / 2)).alias("pairs")).where("many = 2 and pairs = 1").drop("pairs"), "node")
+    rows = together(jaccard._paths(classes))
+    for _ in range(5):
+        rows = together(jaccard._split(rows.select("key", "node", "many").distinct().join(classes, "key"))).localCheckpoint()
+    found = rows.select(F.floor(F.col("key") / 2)).distinct().count()
+    assert found >= 0.985 * n
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 30)] + [(200 + rng.randrange(20), 200 + rng.randrange(20)) for _ in range(30)]
