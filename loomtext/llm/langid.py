@@ -221,11 +221,17 @@ def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text", doc_id:
 
 
 def keep_identified(docs: DataFrame, model: ByteCNN | None, text: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose language is identified with ``min_score``."""
+    """The rows of ``docs``, all columns unchanged, whose language is identified with ``min_score``.
+
+    Without a model, the rows whose text has a letter.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if model is None:
+                yield batch.filter(pa.array([any(ch.isalpha() for ch in t or "") for t in batch.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
+                continue
             names, scores = _predict(batch.column(at), model)
             keep = (np.array(names, object) != "und") & (scores >= min_score)
             yield batch.filter(pa.array(keep, pa.bool_()))

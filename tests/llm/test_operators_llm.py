@@ -311,6 +311,12 @@ def test_language(spark):
     assert langid.fit(d.where("false")) is None and {r.lang_pred for r in langid.predict(d, None).collect()} == {"und"}
 
 
+def test_without_a_model_letters_keep(spark):
+    d = docs(spark, [(1, "clean text", None), (2, "été", None), (3, "12 !", None), (4, "", None), (5, None, None), (6, "Ж", None)])
+    assert langid.fit(d) is None
+    assert sorted(r.doc_id for r in langid.keep_identified(d, None).collect()) == [1, 2, 6]
+
+
 def test_network_tables_match_convolution():
     rng = np.random.default_rng(0)
     m = langid.ByteCNN(["a", "b", "c"])
