@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dom, markup, sentences, tokens, trees
@@ -121,20 +122,30 @@ def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small XML documents around the benchmark items."""
-    b = table(spark, sf_dir, "benchmark")
-    text = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    doc = F.concat(F.lit("<document><para><p>"), text, F.lit(' by <Math xml:id="S'), F.col("item_id").cast("string"), F.lit('.p1.1.m1" tex="x"><XMath><XMTok>x</XMTok></XMath></Math> and <cite>'), F.col("item_id").cast("string"), F.lit("</cite>.</p></para></document>"))
-    return b.select("item_id", doc.alias("doc"))
+    """An XML document around each whole text; signs that XML can't hold become blanks."""
+    d = documents(spark, sf_dir)
+    text = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", " ")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    doc = F.concat(F.lit("<document><para><p>"), text, F.lit(' by <Math xml:id="S'), F.col("doc_id").cast("string"), F.lit('.p1.1.m1" tex="x"><XMath><XMTok>x</XMTok></XMath></Math> and <cite>'), F.col("doc_id").cast("string"), F.lit("</cite>.</p></para></document>"))
+    return d.select("doc_id", doc.alias("doc"))
 
 
 def normalized_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _xml(spark, sf_dir).select("item_id", F.explode(markup.marks(F.col("doc"))).alias("m")).select("item_id", "m.mark", "m.node")
+    return _xml(spark, sf_dir).select("doc_id", F.explode(markup.marks(F.col("doc"))).alias("m")).select("doc_id", "m.mark", "m.node")
 
 
 def mark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _xml(spark, sf_dir).select("item_id", F.explode(markup.marked_tokens(markup.normalized_body(F.col("doc")))).alias("t"))
-    return t.select("item_id", "t.sentence", "t.token", "t.kind", "t.text")
+    def run(batches):
+        for batch in batches:
+            # the tokens of a few documents at a time
+            for k in range(0, len(batch), 64):
+                part = batch[k : k + 64]
+                rows = [(i, *t.values()) for i, body in zip(part["doc_id"], part["body"]) for t in markup.mark_tokens(body or "")]
+                yield pd.DataFrame(rows, columns=["doc_id", "sentence", "token", "kind", "text"])
+
+    body = _xml(spark, sf_dir).select("doc_id", markup.normalized_body(F.col("doc")).alias("body"))
+    return body.mapInPandas(run, f"doc_id {dict(body.dtypes)['doc_id']}, sentence int, token int, kind string, text string")
 
 
 def tree_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

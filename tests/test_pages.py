@@ -29,3 +29,12 @@ def test_node_lookup(spark, tmp_path):
     want = {o: max((n["depth"], n["node_id"]) for n in nodes if n["start"] <= o < n["end"])[1] for o in starts(text)}
     got = {r.offset: r.node_id for r in pages.node_lookup(spark, str(tmp_path)).collect()}
     assert got == want and len(got) > 60
+
+
+def test_marks_of_whole_documents(spark, tmp_path):
+    texts = {1: "a < b & c ]]> d", 2: "bad \x01 sign\uffff", 3: "word " * 20_000, 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = pages.normalized_marks(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in found) == [1, 1, 2, 2, 3, 3, 4, 4]
+    words = [(r.doc_id, r.text) for r in pages.mark_tokens(spark, str(tmp_path)).collect() if r.kind == "word"]
+    assert words.count((3, "word")) == 20_000 and {(1, "d"), (2, "sign")} <= set(words)
