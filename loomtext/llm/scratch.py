@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset and all work is done by this machine."""
     root = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{KEY} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomtext-")
         spark.conf.set(KEY, root)
     return root.rstrip("/")
@@ -31,7 +34,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def made() -> list[str]:
@@ -47,6 +52,18 @@ def drop(spark: SparkSession, *paths: str) -> None:
             _made.remove(name)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete what materialised tables read; nothing may read them afterwards."""
+    for t in tables:
+        drop(t.sparkSession, t.scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of unreachable plans, so that the cleaner deletes the shuffle files of finished stages."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, for files that Python workers write."""
     from pyarrow import fs

@@ -146,9 +146,7 @@ def test_tiling_matches_definition(a, b):
     got = decontam.tile(h(a), h(b), pairs, 2) if len(pairs) else []
     for i, j, n in got:
         assert a[i : i + n] == b[j : j + n] and n >= 2
-    longest = max((n for *_, n in got), default=0)
-    assert sum(n for *_, n in got) >= min(longest, 2)
-    assert bool(got) == bool(brute_tiles(a, b, 2))
+    assert sum(n for *_, n in got) == brute_tiles(a, b, 2)
 
 
 # ---- 3: near duplicates
@@ -158,7 +156,7 @@ def sets_of(text, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def brute_classes(rows):
+def brute_classes(rows, threshold=0.5):
     groups = {}
     for i, t in rows:
         s = sets_of(t)
@@ -175,7 +173,7 @@ def brute_classes(rows):
     for x in range(len(keys)):
         for y in range(x):
             a, b = keys[x], keys[y]
-            if isinstance(a, frozenset) and isinstance(b, frozenset) and len(a & b) / len(a | b) >= 0.5:
+            if isinstance(a, frozenset) and isinstance(b, frozenset) and len(a & b) / len(a | b) >= threshold:
                 links[a] += 1
                 links[b] += 1
                 parent[find(a)] = find(b)
@@ -203,15 +201,18 @@ def near_rows():
     return rows + [(900, ""), (901, None), (902, "... !!!"), (903, "one"), (904, "One."), (905, "two words")]
 
 
-@pytest.mark.parametrize("bucket", [256, 8])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,threshold,limit", [(256, 0.5, 500_000), (8, 0.5, 500_000), (8, 0.5, 0), (8, 0.3, 500_000), (256, 1.0, 500_000)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, bucket, threshold, limit):
     rows = near_rows()
     monkeypatch.setattr(jaccard, "BUCKET", bucket)
-    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard, "MEMBERS", 5)
+    monkeypatch.setattr(jaccard, "_SMALL", 6)
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST_IDS", limit)
     d = docs(spark, rows).withColumn("key", F.lit(0)).withColumn("size", F.lit(0))
-    got, links = jaccard.near_duplicates(d)
+    got, links = jaccard.near_duplicates(d, threshold=threshold)
     found = {r.doc_id: (r.class_id, r.copy_id, r.n_copies, r.n_links) for r in got.collect()}
-    want = brute_classes(rows)
+    want = brute_classes(rows, threshold)
     assert found == want
     assert 2 * links.count() == sum({k: v[3] for k, v in want.items() if v[1] == k}.values())
 
@@ -225,19 +226,53 @@ def test_near_duplicates_edges(spark):
     assert jaccard.near_duplicates(docs(spark, []))[0].count() == 0
 
 
-def test_recall_after_splits(spark):
-    # pairs at the threshold: each coordinate agrees by chance 0.5; every bucket is split five times
-    rng, n = np.random.default_rng(6), 1500
-    a, b = rng.integers(-(2**15), 2**15, (2, n, jaccard.COORDINATES))
-    b = np.where(rng.random(b.shape) < 0.5, a, b)
-    sets = [(2 * k + side, x[k].tolist()) for k in range(n) for side, x in enumerate((a, b))]
-    classes = spark.createDataFrame(sets, "key long, sig array<smallint>").cache()
-    together = lambda rows: rows.join(rows.groupBy("node").agg(F.count_distinct("key").alias("many"), F.count_distinct(F.floor(F.col("key") / 2)).alias("pairs")).where("many = 2 and pairs = 1").drop("pairs"), "node")
-    rows = together(jaccard._paths(classes))
-    for _ in range(5):
-        rows = together(jaccard._split(rows.select("key", "node", "many").distinct().join(classes, "key"))).localCheckpoint()
-    found = rows.select(F.floor(F.col("key") / 2)).distinct().count()
-    assert found >= 0.985 * n
+def test_partners_match_definition():
+    rng = np.random.default_rng(3)
+    for n in (2, 20, 50):
+        low = rng.integers(0, 3, (3 * n, jaccard.COORDINATES), dtype=np.uint8)
+        node, size, key = np.repeat([5, 9, 12], n), rng.integers(1, 9, 3 * n), rng.permutation(3 * n)
+        side = np.concatenate([np.full(n, 2), np.arange(n) % 2, np.full(n, 2)])
+        got = {}
+        for batch in jaccard._partners(node, key, size, side, low, 0.5):
+            for r in batch.to_pylist():
+                bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+                got[r["node"], r["key"]] = {int(key[node == r["node"]][j]) for j in np.flatnonzero(bits)}
+                assert r["least"] == min(got[r["node"], r["key"]]) and key[node == r["node"]][r["pos"]] == r["key"]
+        want = {}
+        for i in range(3 * n):
+            for j in range(3 * n):
+                if i != j and node[i] == node[j] and (side[i] == 2 or side[i] != side[j]) and min(size[i], size[j]) >= 0.5 * max(size[i], size[j]) and (low[i] == low[j]).sum() >= jaccard._need(0.5):
+                    want.setdefault((int(node[i]), int(key[i])), set()).add(int(key[j]))
+        assert got == want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.3])
+def test_recall_after_splits(spark, threshold):
+    # every bucket of these pairs at the threshold is split five times; runs follow until the first half's recall is reached
+    n = 3000
+    sig = np.random.default_rng(6).integers(-(2**15), 2**15, (n, jaccard.COORDINATES))
+    same = np.random.default_rng(7).random(sig.shape) < threshold
+    pairs = spark.createDataFrame([(k, sig[k].tolist(), same[k].tolist()) for k in range(n)], "pid long, sig array<smallint>, same array<boolean>").cache()
+    met, done, runs = set(), 0, jaccard.first_runs(threshold)
+    while not done or sum(p % 2 for p in met) < jaccard.RECALL * n / 2:
+        rows, large = jaccard._paths(pairs, done * jaccard.CHOICES, runs * jaccard.CHOICES - 1), []
+        for _ in range(5):
+            rows = rows.where(F.element_at("same", F.col("i") + 1))
+            large.append(rows.select("node", F.lit(False).alias("ends")).distinct())
+            rows = jaccard._split(rows, threshold).drop("parent")
+        met |= jaccard._meet(pairs, done * jaccard.CHOICES, runs * jaccard.CHOICES - 1, large, threshold)
+        done, runs = runs, runs + 1
+    assert done <= 2 * jaccard.first_runs(threshold)
+    assert sum(p % 2 == 0 for p in met) >= 0.98 * n / 2
+
+
+def test_candidates_repeat_until_recall(spark, monkeypatch):
+    calls = []
+    run = jaccard._run
+    monkeypatch.setattr(jaccard, "_run", lambda c, a, b, t: calls.append((a, b)) or run(c, a, b, t))
+    monkeypatch.setattr(jaccard, "first_runs", lambda t: 1)
+    jaccard.near_duplicates(docs(spark, near_rows()))
+    assert len(calls) > 2 and calls[0] == (0, 1) and all(y[0] == x[1] + 1 for x, y in zip(calls, calls[1:]))
 
 
 def test_components(spark):
