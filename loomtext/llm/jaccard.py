@@ -21,10 +21,11 @@ similar than the threshold are lost far more rarely.
 Pairs whose minhash agreement or sizes rule out the threshold are dropped where they are
 formed (their loss counts in the measured recall). A bucket's other pairs leave it as one row
 for each set with a bit for each partner, never as rows of pairs. The pairs are verified
-exactly from the sets, in blocks: a class joins its smallest partner's group, groups are cut
+exactly from the sets, in blocks: a class joins its smallest
+partner's smallest partner's group, groups are cut
 into blocks of at most about ``BLOCK_BYTES`` and ``BLOCK_SETS`` sets, and each pair of blocks
 that holds a candidate is compared as a whole, tile by tile, by products of incidence
-matrices. A set travels once for each such pair of blocks, not for each candidate, and what
+matrices. A set travels once to each such pair of blocks where it has a candidate, and what
 comes out of one is its sets' numbers of links and a spanning star of each of its components,
 not every link. Components are then closed by alternating large-star and small-star
 contraction.
@@ -365,35 +366,38 @@ def candidates(classes: DataFrame, threshold: float) -> list[DataFrame]:
 
 
 def _routes(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, routes: the pairs of blocks that a class's set must travel to, and its side there."""
+    """key, doc_id, routes: the pairs of blocks that a class's set must travel to, and its side there."""
     lead = met.groupBy("key").agg(F.min("least").alias("m")).select("key", F.least("key", "m").alias("lead")).join(classes.select("key", "size"), "key")
+    lead = materialize(lead, "leads")
+    # the lead's own lead: a few sets that miss the smallest of a group by chance would else be a group of their own
+    lead = lead.join(lead.select(F.col("key").alias("lead"), F.col("lead").alias("first")), "lead").select("key", "size", F.col("first").alias("lead"))
     many = lead.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") * 8 / BLOCK_BYTES)).alias("n"))
     block = F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("n")))
     members = materialize(lead.join(many, "lead").select("key", block.alias("block")), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _runs_of(batches):
-            node, pos, block = (x.to_numpy() for x in columns[:3])
+            node, pos, key, block = (x.to_numpy() for x in columns[:4])
             first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            low, high = np.minimum.reduceat(block, first), np.maximum.reduceat(block, first)
-            out = [np.stack([low, low])[:, low == high]]
-            for f, e in zip(first[low != high], np.append(first[1:], len(node))[low != high]):
+            alone = np.minimum.reduceat(block, first) == np.maximum.reduceat(block, first)
+            at = np.flatnonzero(np.repeat(alone, np.diff(np.append(first, len(node)))))
+            out = [np.stack([key[at], block[at], block[at]])]
+            for f, e in zip(first[~alone], np.append(first[1:], len(node))[~alone]):
                 names, code = np.unique(block[f:e], return_inverse=True)
-                bits = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in columns[3].slice(f, e - f).to_pylist()]), axis=1, bitorder="little")[:, pos[f:e]]
+                bits = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in columns[4].slice(f, e - f).to_pylist()]), axis=1, bitorder="little")[:, pos[f:e]]
                 mine = (np.arange(len(names))[:, None] == code).astype(np.float32)
-                x, y = np.nonzero(np.triu((mine @ bits.astype(np.float32) @ mine.T) > 0))
-                out.append(np.stack([names[x], names[y]]))
-            x, y = np.unique(np.concatenate(out, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+                x, y = np.nonzero(bits.astype(np.float32) @ mine.T > 0)
+                out.append(np.stack([key[f:e][x], block[f:e][x], names[y]]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, 1)], names=["key", "x", "y"])
 
-    met = _by(met.join(members, "key").select("node", "pos", "block", "bits"), "node").sortWithinPartitions("node", "pos")
-    met = materialize(met.mapInArrow(bv.lean(run), "x long, y long").distinct(), "routes")
+    # a set travels to a pair of blocks only if it has a promising partner there
+    met = _by(met.join(members, "key").select("node", "pos", "key", "block", "bits"), "node").sortWithinPartitions("node", "pos")
+    ways = met.mapInArrow(bv.lean(run), "key long, x long, y long").distinct()
     # side 0 and 1 are the two blocks; a block with itself is side 2
-    same = F.col("x") == F.col("y")
-    ends = met.select(F.xxhash64("x", "y").alias("p"), F.explode(F.when(same, F.array(F.struct(F.col("x").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))).alias("e"))
-    by_block = ends.groupBy(F.col("e.block").alias("block")).agg(F.collect_list(F.struct("p", F.col("e.side").alias("side"))).alias("routes"))
-    out = materialize(members.join(by_block, "block").join(classes.select("key", F.col("rep").alias("doc_id")), "key").select("key", "doc_id", "routes"), "routes")
-    scratch.drop_tables(members, met)
+    side = F.when(F.col("x") == F.col("y"), 2).otherwise((F.col("x") > F.col("y")).cast("int"))
+    ways = ways.groupBy("key").agg(F.collect_list(F.struct(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("p"), side.alias("side"))).alias("routes"))
+    out = materialize(ways.join(classes.select("key", F.col("rep").alias("doc_id")), "key").select("key", "doc_id", "routes"), "routes")
+    scratch.drop_tables(members)
     return out
 
 
