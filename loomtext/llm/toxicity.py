@@ -1,24 +1,27 @@
-"""Toxicity from the nearest labelled examples by TF-IDF cosine over a selected word list.
+"""Toxicity from the nearest labelled examples by TF-IDF cosine over whole texts.
 
 1. A bounded sample of labelled documents that aren't held out (at most ``positives`` and
-   ``negatives``, smallest hash of the id first) selects the vocabulary: words whose document
-   frequencies in the two classes differ by chi-square and lean to the toxic one: in at least
-   4 toxic sample documents, at over 3 times the other class's rate, chi-square over ``CHI2``.
-   At most ``max_terms`` words, so the model's size is bounded; under about 40 labelled
-   documents none is selected. All other words of a text are ignored.
-2. One pass over all whole texts keeps each document's counts of these words; the inverse
-   document frequencies come from all documents.
-3. The sample's documents with such words form an inverted index in blocks of ``BLOCK``
-   examples with each block's maximal weight of each term. A document's ``neighbours`` nearest
-   examples are found exactly: blocks are visited by falling upper bound until the bound is
-   below the last neighbour's cosine.
+   ``negatives``, smallest hash of the id first, and ``max_bytes`` of text) gives the examples,
+   with all their words.
+2. One pass over all whole texts counts in how many documents each of these words occurs; all
+   other words share ``OTHERS`` counters by their hash, which serve the vectors' norms alone. A
+   word's weight is (1 + ln tf) * idf * (``FLOOR`` + lift), lift being the log odds ratio of its
+   document frequencies in the two classes less ``DEVIATIONS`` standard errors, or 0 if that is
+   negative. Every word keeps a weight. Under plain TF-IDF (lift 0 for all words) the rare words
+   of a text drown the few that are toxic: precision 0.67 and recall 0.72 on held-out rows of
+   ``check_s``, against 0.99 and 1.00.
+3. The examples form an inverted index in blocks of ``BLOCK`` examples with each block's maximal
+   weight of each term. A document's ``neighbours`` nearest examples are found exactly: blocks
+   are scored by falling upper bound until the bound is below the last neighbour's cosine.
 4. Similarity-weighted votes, shrunk to the base rate, are calibrated by isotonic regression
-   on leave-one-out votes of the sample.
-
-Defined results: null and empty texts, and texts without any selected word, get the rate of
-toxic labels among sample documents without such words; without labels all scores are 0. Ids
-may repeat or be null (such rows are scored, not learned from). Conflicting labels of one id
-count as toxic. A document is never its own neighbour. Other columns are ignored.
+   on leave-one-out votes of the examples.
+
+Defined results: texts without words (null, empty, only signs) get the examples' rate of toxic
+labels and no evidence; without labels all scores are 0. Ids may repeat or be null (such rows
+are scored; of rows that share an id the smallest text is the example, null ids are never one).
+Conflicting labels of one id count as toxic. A document is never its own neighbour. Equal
+cosines go to the smaller id. Texts of any length are worked through as wholes. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,90 +29,131 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import bytesvec as bv
+from . import bytesvec as bv, scratch
 from .langid import fold_of, held_out
 from .scratch import materialize
 
-BLOCK, PRIOR_WEIGHT, CHI2 = 64, 0.3, 40.0
+BLOCK, PRIOR_WEIGHT, FLOOR, DEVIATIONS = 64, 0.3, 0.02, 2.0
+#: Shared document counters of words that no example has; counters a row when tasks add theirs up.
+OTHERS, PART = 1 << 18, 1 << 10
+
+
+def expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first``, ``count`` of them, one after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count)
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over unit vectors, block by block under term-maximum bounds."""
-
-    def __init__(self, vectors: list[dict[int, float]], ids: list[int], labels: list[int]):
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.labels = np.array([labels[i] for i in order], np.float64)
-        self.blocks = -(-len(order) // BLOCK)
-        self.post: dict[tuple[int, int], list] = {}
-        maxima: dict[int, np.ndarray] = {}
-        for n, i in enumerate(order):
-            b, at = divmod(n, BLOCK)
-            for t, w in vectors[i].items():
-                self.post.setdefault((b, t), []).append((at, w))
-                m = maxima.setdefault(t, np.zeros(self.blocks))
-                m[b] = max(m[b], w)
-        self.post = {k: (np.array([a for a, _ in v]), np.array([w for _, w in v])) for k, v in self.post.items()}
-        self.maxima = maxima
-
-    def top(self, query: dict[int, float], k: int, not_id: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example number) of the k nearest, ties to the smaller id."""
-        terms = [t for t in query if t in self.maxima]
-        if not terms:
-            return []
-        bounds = sum(query[t] * self.maxima[t] for t in terms)
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) >= k and bounds[b] < best[k - 1][0] * -1 - 1e-12):
-                break
-            acc = np.zeros(BLOCK)
-            for t in terms:
-                p = self.post.get((int(b), t))
-                if p is not None:
-                    acc[p[0]] += query[t] * p[1]
-            at = np.flatnonzero(acc > 0)
-            if len(best) >= k:
-                at = at[acc[at] >= -best[k - 1][0] - 1e-12]
-            for a in at:
-                n = int(b) * BLOCK + int(a)
-                if not_id is None or self.ids[n] != not_id:
-                    best.append((-round(float(acc[a]), 12), int(self.ids[n]), n))
-            best.sort()
-            del best[k:]
-        return [(-s, n) for s, _, n in best]
+    """Exact top-k cosine over unit vectors, block by block under term-maximum bounds.
+
+    ``owner``, ``term`` and ``weight`` are the vectors' entries; terms are numbers below ``terms``.
+    """
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, terms: int):
+        n = len(ids)
+        keep = weight > 0
+        owner, term, weight = owner[keep], term[keep], weight[keep]
+        # alike vectors share a block: by their most common term, which tells the language, then by their strongest one and their number of terms
+        df, size = np.bincount(term, minlength=terms), np.bincount(owner, minlength=n)
+        common, strong = np.full(n, -1), np.full(n, -1)
+        for to, by in ((common, df[term]), (strong, weight)):
+            o = np.lexsort((term, by, owner))
+            last = np.flatnonzero(np.append(owner[o][1:] != owner[o][:-1], True)) if len(o) else o
+            to[owner[o][last]] = term[o][last]
+        top = np.zeros(n)
+        np.maximum.at(top, owner, weight)
+        order = np.lexsort((ids, size, np.where(top > 0.3, strong, -1), common))
+        self.ids, self.labels, self.blocks = ids[order], labels[order].astype(float), -(-n // BLOCK)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        o = np.lexsort((place[owner], term))
+        self.example, self.weight, term = place[owner[o]].astype(np.int32), weight[o], term[o]
+        # entries: a term in a block, with its postings and their maximum
+        cell = term.astype(np.int64) * max(1, self.blocks) + self.example // BLOCK
+        self.posting = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
+        self.block = (cell[self.posting] % max(1, self.blocks)).astype(np.int32)
+        self.maximum = np.maximum.reduceat(self.weight, self.posting) if len(cell) else np.zeros(0)
+        self.entry = np.searchsorted(term[self.posting], np.arange(terms + 1))
+        self.posting = np.append(self.posting, len(cell))
+        self.visits = 0
+
+    def top(self, term: np.ndarray, weight: np.ndarray, k: int, not_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and example numbers of the k nearest with a common term."""
+        count = self.entry[term + 1] - self.entry[term]
+        e, w = expand(self.entry[term], count), np.repeat(weight, count)
+        block = self.block[e]
+        bounds = np.bincount(block, w * self.maximum[e], self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        rank, bounds = rank[block], bounds[order]
+        end = int(np.searchsorted(-bounds, 0.0))
+        found, score = np.zeros(0, np.int64), np.zeros(0)
+        at, step, least = 0, 4, 0.0
+        while at < end and bounds[at] >= least - 1e-12:
+            to = min(end, at + step)
+            if least:
+                to = min(to, max(at + 1, int(np.searchsorted(-bounds, 1e-12 - least, side="right"))))
+            mine = (rank >= at) & (rank < to)
+            first = self.posting[e[mine]]
+            count = self.posting[e[mine] + 1] - first
+            p = expand(first, count)
+            # scores are compared as rounded, for the order of summing differs
+            acc = np.round(np.bincount(self.example[p], np.repeat(w[mine], count) * self.weight[p], len(self.ids)), 12)
+            new = np.flatnonzero(acc > max(0.0, least - 1e-12))
+            if not_id is not None:
+                new = new[self.ids[new] != not_id]
+            found, score = np.concatenate((found, new)), np.concatenate((score, acc[new]))
+            if len(found) > k:
+                best = np.lexsort((self.ids[found], -score))[:k]
+                found, score = found[best], score[best]
+            if len(found) == k:
+                least = float(score.min())
+            self.visits += to - at
+            at, step = to, 2 * step
+        best = np.lexsort((self.ids[found], -score))
+        return score[best], found[best]
 
 
 class Model:
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: pd.DataFrame, base: float, neighbours: int):
-        self.terms, self.idf, self.base, self.k = terms, idf, base, neighbours
-        full = np.array([len(x) > 0 for x in examples["terms"]], bool)
-        some, none = examples[full], examples[~full]
-        vectors = [self.vector(t, c) for t, c in zip(some["terms"], some["counts"])]
-        self.index = BlockMaxIndex(vectors, [int(x) for x in some["doc_id"]], [int(x) for x in some["label"]]) if len(some) else None
-        self.without = float((none["label"].sum() + base) / (len(none) + 1))
-        raw = np.array([self.vote(v, int(d))[0] for v, d in zip(vectors, some["doc_id"])])
-        self.knots = isotonic(raw, some["label"].to_numpy(np.float64)) if len(raw) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-    def vector(self, terms, counts) -> dict[int, float]:
-        w = (1 + np.log(np.asarray(counts, np.float64))) * self.idf[np.asarray(terms, np.int64)]
-        norm = float(np.sqrt((w * w).sum()))
-        return {int(t): float(x / norm) for t, x in zip(terms, w) if x > 0} if norm > 0 else {}
-
-    def vote(self, vector: dict[int, float], not_id: int | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.top(vector, self.k, not_id) if self.index else []
-        weight = sum(s for s, _ in near)
-        return (sum(s * self.index.labels[n] for s, n in near) + PRIOR_WEIGHT * self.base) / (weight + PRIOR_WEIGHT), near
-
-    def score(self, terms, counts, doc_id: int | None) -> tuple[float, list[tuple[float, int]]]:
-        if terms is None or not len(terms):
-            return self.without, []
-        v = self.vector(terms, counts)
-        raw, near = self.vote(v, doc_id)
-        return float(np.interp(raw, *self.knots)), near
+    """Word weights, the index and the calibration."""
+
+    def __init__(self, words: np.ndarray, weight: np.ndarray, other: np.ndarray, base: float, neighbours: int):
+        self.words, self.weight, self.other, self.base, self.k = words, weight, other, base, neighbours
+        self.index: BlockMaxIndex | None = None
+        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+
+    def vectors(self, known: bv.HashSet, doc: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, terms and weights of unit vectors, of distinct (text, word) pairs with counts."""
+        at, term = known.find(h)
+        w = (1 + np.log(count)) * FLOOR * self.other[h & np.uint64(OTHERS - 1)]
+        w[at] = (1 + np.log(count[at])) * self.weight[term]
+        norm = np.sqrt(np.bincount(doc, w * w, rows))
+        return doc[at], term, w[at] / norm[doc[at]]
+
+    def vote(self, term: np.ndarray, weight: np.ndarray, not_id: int | None) -> tuple[float, np.ndarray]:
+        score, near = self.index.top(term, weight, self.k, not_id)
+        return float((score @ self.index.labels[near] + PRIOR_WEIGHT * self.base) / (score.sum() + PRIOR_WEIGHT)), near
+
+
+def distinct_words(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, word) pairs, sorted, with counts."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
+    return doc[first], h[first], np.diff(np.append(first, len(h)))
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the texts and their distinct words."""
+    data, offsets = bv.column_bytes(column)
+    for i, j in bv.slices(offsets):
+        doc, h, _, _ = bv.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, j, *distinct_words(doc, h)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,94 +169,132 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_labels(labels: DataFrame, doc_id: str, label: str, positives: int, negatives: int) -> DataFrame:
-    one = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (fold_of("doc_id") != 1))
-    one = one.groupBy("doc_id").agg(F.max("label").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """doc_id, label of at most so many examples of each class, smallest hash of the id first."""
+    one = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold_of("doc_id") != 1))
+    one = materialize(one.groupBy("doc_id").agg((F.max("label") == 1).cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id")), "labels")
+    sizes = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
     cap = F.when(F.col("label") == 1, positives).otherwise(negatives)
-    # the constant bound lets the plan cut each partition's groups before the shuffle
-    return one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(positives, negatives)).where(F.col("r") <= cap).select("doc_id", "label")
-
-
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False)
-        data, offsets = bv.column_bytes(batch.column(0))
-        for i, j in bv.slices(offsets):
-            doc, h, _, _ = bv.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if not len(h):
-                continue
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-            doc, h = doc[new], h[new]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            pos = np.add.reduceat(label[i + doc].astype(np.int64), first)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(pos), pa.array(np.diff(np.append(first, len(h))) - pos)], names=["h", "p", "n"])
-
-
-def select_terms(docs: DataFrame, sample: DataFrame, n_pos: int, n_neg: int, text: str, doc_id: str, max_terms: int) -> np.ndarray:
-    """Hashes of the words that mark toxic documents of the sample."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
-    c = texts.mapInArrow(bv.lean(_class_counts), "h long, p long, n long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    p, n, a, b = F.col("p"), F.col("n"), float(max(n_pos, 1)), float(max(n_neg, 1))
-    df, total = p + n, a + b
-    chi2 = total * F.pow(p * (b - n) - n * (a - p), 2) / (a * b * df * (total - df + 0.5))
-    rows = c.where((p >= 4) & (p / a > 3 * n / b)).withColumn("x", chi2).where(F.col("x") > CHI2).orderBy(F.desc("x"), "h").limit(max_terms).select("h").collect()
-    return np.unique(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-
-
-def term_counts(docs: DataFrame, terms: np.ndarray, text: str, doc_id: str) -> DataFrame:
-    """doc_id, and each document's selected terms with their counts; one row per row."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    # hashes are uniform: a bound on them leaves little more than the cap to be ordered, by two tasks
+    kept = F.lit(False)
+    for kind, most in ((1, positives), (0, negatives)):
+        share = min(1.0, (most + 8 * most**0.5 + 20) / max(1, sizes.get(kind, 0)))
+        kept |= (F.col("label") == kind) & (F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+    order = Window.partitionBy("label").orderBy("h", "doc_id")
+    return one.where(kept).withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).select("doc_id", "label", "h")
+
+
+def _examples(docs: DataFrame, sample: DataFrame, text: str, doc_id: str, max_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, labels, and the owners, hashes and counts of their distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bv.HashSet(terms)
         for batch in batches:
-            data, offsets = bv.column_bytes(batch.column(1))
-            sizes, ts, cs = np.zeros(batch.num_rows, np.int64), [], []
-            for i, j in bv.slices(offsets):
-                doc, h, _, _ = bv.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at, place = known.find(h)
-                if len(at):
-                    key, count = np.unique(doc[at] * len(terms) + place, return_counts=True)
-                    sizes[i:j] = np.bincount(key // len(terms), minlength=j - i)
-                    ts.append(key % len(terms))
-                    cs.append(count)
-            offs = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int32()) for x in (ts, cs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(offs, x) for x in flat)], names=["doc_id", "terms", "counts"])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(bv.lean(run), f"doc_id {kind}, terms array<int>, counts array<int>")
-
-
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = 2000, negatives: int = 6000, max_terms: int = 1024, neighbours: int = 15, threshold: float = 0.7) -> DataFrame:
+            for i, j, doc, h, count in _texts(batch.column(2)):
+                cut = np.searchsorted(doc, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in (h, count.astype(np.int32)))], names=["doc_id", "label", "h", "n"])
+
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("h").alias("h"))
+    # at most the sampled rows: one after the other until their bytes reach the bound
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    texts = texts.withColumn("bytes", size).where(F.col("bytes") <= max_bytes // 2)
+    got = texts.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(bv.lean(run), "doc_id long, label int, h binary, n binary").toArrow().sort_by("doc_id")
+    h, n = (np.frombuffer(b"".join(got[c].to_pylist()), kind) for c, kind in (("h", np.uint64), ("n", np.int32)))
+    sizes = np.array([len(x) // 8 for x in got["h"].to_pylist()], np.int64)
+    return got["doc_id"].to_numpy(), got["label"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes), h, n.astype(np.float64)
+
+
+def document_counts(docs: DataFrame, words: np.ndarray, text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, of rows with each of these words, and of (row, other word) pairs by counter."""
+    slots = 1 + len(words) + OTHERS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = bv.HashSet(words), np.zeros(-(-slots // PART) * PART, np.uint32)
+        for batch in batches:
+            total[0] += batch.num_rows
+            for _, _, _, h, _ in _texts(batch.column(0)):
+                at, term = known.find(h)
+                slot = 1 + len(words) + (h & np.uint64(OTHERS - 1)).astype(np.int64)
+                slot[at] = 1 + term
+                total += np.bincount(slot, minlength=len(total)).astype(np.uint32)
+        if total[0]:
+            rows = total.reshape(-1, PART)
+            at = np.flatnonzero(rows.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([rows[k].tobytes() for k in at], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[part] = total.get(part, np.zeros(PART, np.int64)) + np.frombuffer(raw, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+
+    # fixed numbers of counters: a task sends those it has used, and the driver gets each one once
+    schema = "part long, counts binary"
+    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(bv.lean(count), schema)
+    got = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(bv.lean(add), schema).collect()
+    total = np.zeros(-(-slots // PART) * PART, np.int64)
+    for part, raw in got:
+        total[part * PART : (part + 1) * PART] = np.frombuffer(raw, np.int64)
+    return int(total[0]), total[1 : 1 + len(words)], total[1 + len(words) : slots]
+
+
+def lift(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Log odds ratio of words in so many of the two classes' examples, less its error; not negative."""
+    a, b, c, d = toxic + 0.5, n_toxic - toxic + 0.5, other + 0.5, n_other - other + 0.5
+    return np.maximum(0.0, np.log(a * d / (b * c)) - DEVIATIONS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = 2000, negatives: int = 6000, max_bytes: int = 48 << 20, neighbours: int = 15) -> Model:
+    """The model; its size is bounded by the examples' number and bytes."""
+    spark = docs.sparkSession
+    sample = materialize(sample_labels(labels, doc_id, label, positives, negatives), "sample")
+    ids, y, owner, h, n = _examples(docs, sample, text, doc_id, max_bytes)
+    base = float(y.mean()) if len(y) else 0.0
+    words, term = np.unique(h, return_inverse=True)
+    if not len(words) or y.min() == y.max():
+        return Model(words, np.zeros(len(words)), np.zeros(OTHERS), base, neighbours)
+    rows, df, other = document_counts(docs, words, text)
+    toxic, seen = np.bincount(term, y[owner], len(words)), np.bincount(term, minlength=len(words))
+    idf = lambda f: np.log((1 + rows) / (1 + f)) + 0.1
+    model = Model(words, idf(df) * (FLOOR + lift(toxic, seen - toxic, int(y.sum()), int((1 - y).sum()))), idf(np.minimum(other, rows)), base, neighbours)
+    o, t, w = model.vectors(bv.HashSet(words), owner, h, n, len(ids))
+    model.index = BlockMaxIndex(o, t, w, ids, y, len(words))
+    cut = np.searchsorted(o, np.arange(len(ids) + 1))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.vote(t[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]], int(ids[i]))[0] for i in at])], names=["id", "vote"])
+
+    raw = dict(spark.range(0, len(ids), 1, max(1, len(ids) // 200)).mapInArrow(bv.lean(votes), "id long, vote double").collect())
+    model.knots = isotonic(np.array([raw[i] for i in range(len(ids))]), y.astype(float))
+    scratch.drop_tables(sample)
+    return model
+
+
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = 2000, negatives: int = 6000, max_bytes: int = 48 << 20, neighbours: int = 15, threshold: float = 0.7) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, n_terms, evidence.
 
-    ``evidence`` lists the ids of the nearest labelled examples, the nearest first.
+    ``n_terms`` counts the text's distinct words that an example has. ``evidence`` lists the ids
+    of the nearest labelled examples, the nearest first.
     """
-    sample = sample_labels(labels, doc_id, label, positives, negatives)
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    terms = select_terms(docs, sample, n_pos, n_neg, text, doc_id, max_terms) if n_pos and n_neg else np.zeros(0, np.uint64)
-    counted = materialize(term_counts(docs, terms, text, doc_id), "toxicity")
-    total = counted.count()
-    freq = {r["t"]: r["count"] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-    idf = np.array([np.log((1 + total) / (1 + freq.get(t, 0))) + 0.1 for t in range(len(terms))])
-    examples = counted.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "terms", "counts").toPandas()
-    examples = examples.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    model = Model(terms, idf, examples, n_pos / max(1, n_pos + n_neg), neighbours)
+    model = fit(docs, labels, text, doc_id, label, positives, negatives, max_bytes, neighbours)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bv.HashSet(model.words)
         for batch in batches:
-            scores, lists = [], []
-            for d, t, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s, near = model.score(t, c, d)
-                scores.append(min(1.0, max(0.0, s)))
-                lists.append([int(model.index.ids[n]) for _, n in near])
-            s = np.array(scores, np.float64)
-            sizes = np.array([len(t) for t in batch.column(2).to_pylist()], np.int32)
+            ids = batch.column(0).to_pylist()
+            s, sizes, lists = np.full(len(ids), model.base), np.zeros(len(ids), np.int32), [[]] * len(ids)
+            for i, j, doc, h, n in _texts(batch.column(2)) if model.index else ():
+                o, t, w = model.vectors(known, doc, h, n, j - i)
+                cut, full = np.searchsorted(o, np.arange(j - i + 1)), np.bincount(doc, minlength=j - i) > 0
+                sizes[i:j] = np.diff(cut)
+                for k in np.flatnonzero(full):
+                    vote, near = model.vote(t[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]], ids[i + k])
+                    s[i + k], lists[i + k] = np.interp(vote, *model.knots), model.index.ids[near].tolist()
+            s = np.clip(s, 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(sizes), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "n_terms", "evidence"])
 
-    rows = counted.select("doc_id", held_out("doc_id").alias("held_out"), "terms", "counts")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(bv.lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int, n_terms int, evidence array<long>")

@@ -313,13 +313,81 @@ def test_block_max_is_exact(seed, k):
     vectors = []
     for _ in range(300):
         t = rng.choice(30, rng.integers(1, 6), replace=False)
-        w = rng.random(len(t)) + 0.1
+        w = rng.integers(1, 4, len(t)) + 0.1
         vectors.append({int(a): float(b) for a, b in zip(t, w / np.linalg.norm(w))})
-    index = toxicity.BlockMaxIndex(vectors, list(range(300)), [0] * 300)
-    q = vectors[7]
-    got = [(round(s, 9), int(index.ids[n])) for s, n in index.top(q, k, 7)]
+    owner, term, weight = (np.array(x) for x in zip(*((i, t, w) for i, v in enumerate(vectors) for t, w in v.items())))
+    index = toxicity.BlockMaxIndex(owner, term, weight, np.arange(300), np.zeros(300), 31)
+    q = vectors[7] | {30: 0.2}
+    score, near = index.top(np.array(list(q)), np.array(list(q.values())), k, 7)
     want = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors) if i != 7))
-    assert got == [(round(-s, 9), i) for s, i in want if s < 0][:k]
+    assert list(zip(index.ids[near].tolist(), score)) == [(i, -s) for s, i in want if s < 0][:k]
+
+
+def test_block_max_prunes():
+    owner, term = np.arange(2000), np.repeat(np.arange(20), 100)
+    index = toxicity.BlockMaxIndex(owner, term, np.ones(2000), np.arange(2000), np.zeros(2000), 20)
+    score, near = index.top(np.array([4, 5]), np.array([0.9, 0.1]), 5)
+    assert index.ids[near].tolist() == [400, 401, 402, 403, 404] and index.visits <= 4
+
+
+def brute_toxicity(rows, labels, k=15, floor=0.02):
+    """Every step by its definition: rows (id, text), labels {id: label} of those that may be learned from."""
+    words = lambda t: Counter(re.findall(r"[a-z0-9]+", (t or "").lower()))
+    bags, n = [(i, words(t)) for i, t in rows], len(rows)
+    df = Counter(w for _, b in bags for w in b)
+    examples = {i: min((t or "" for j, t in rows if j == i)) for i, _ in rows if i in labels}
+    bag = {i: words(t) for i, t in examples.items()}
+    n1 = sum(labels[i] for i in examples)
+    n0, base = len(examples) - n1, n1 / len(examples)
+    slot = lambda w: int(bv.hash_word(w)) % toxicity.OTHERS
+    vocabulary = {w for b in bag.values() for w in b}
+    shared = Counter()
+    for w, f in df.items():
+        if w not in vocabulary:
+            shared[slot(w)] += f
+
+    def weight(w):
+        if w not in vocabulary:
+            return floor * (math.log((1 + n) / (1 + min(n, shared[slot(w)]))) + 0.1)
+        a, c = (sum(w in b for i, b in bag.items() if labels[i] == x) + 0.5 for x in (1, 0))
+        b, d = n1 - a + 1, n0 - c + 1
+        up = math.log(a * d / b / c) - 2 * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        return (math.log((1 + n) / (1 + df[w])) + 0.1) * (floor + max(0, up))
+
+    weights = {w: weight(w) for w in df}
+
+    def unit(b):
+        v = {w: (1 + math.log(c)) * weights[w] for w, c in b.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: unit(b) for i, b in bag.items()}
+
+    def vote(v, i):
+        near = sorted((-round(sum(x * vectors[j].get(w, 0) for w, x in v.items()), 12), j) for j in vectors if j != i)
+        near = [(-s, j) for s, j in near if s < 0][:k]
+        return (sum(s * labels[j] for s, j in near) + 0.3 * base) / (sum(s for s, _ in near) + 0.3), [j for _, j in near]
+
+    ordered = sorted(vectors)
+    knots = toxicity.isotonic(np.array([vote(vectors[i], i)[0] for i in ordered]), np.array([float(labels[i]) for i in ordered]))
+    out = []
+    for i, b in bags:
+        raw, near = vote(unit(b), i) if b else (None, [])
+        out.append((i, float(np.clip(np.interp(raw, *knots), 0, 1)) if b else base, near))
+    return out
+
+
+def test_toxicity_matches_definition(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng, rows = random.Random(12), []
+    for i in range(260):
+        rows.append((i, prose(rng, rng.choice([3, 30, 80])) + (" vile rotten" if i % 4 == 0 else "") + " " + rng.choice(WORDS)))
+    rows += [(300, ""), (301, None), (302, "..."), (5, "a a smaller text"), (None, rows[4][1]), (303, rows[8][1]), (304, "unseen unheard")]
+    labels = {i: int(i % 4 == 0) for i in range(260)}
+    got = toxicity.score(docs(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    learned = {i: v for i, v in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    want = Counter((i, round(s, 7), tuple(near)) for i, s, near in brute_toxicity(rows, learned))
+    assert Counter((r.doc_id, round(r.score, 7), tuple(r.evidence)) for r in got.collect()) == want
 
 
 # ---- 5: language
