@@ -1,7 +1,9 @@
 """Words, word hashes and n-gram hashes of whole Arrow text columns, vectorised over their UTF-8 bytes.
 
 Texts are never turned into Python strings here: an Arrow string column is one byte
-buffer with offsets, which is worked through in slices of about a quarter of a megabyte.
+buffer with offsets, which is worked through in slices of about a quarter of a megabyte. A
+longer text is cut between words where bytes are scrambled, so beside the text itself it takes
+32 bytes a word.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 18
+#: Bytes that are scrambled at once.
+PIECE = 1 << 21
 
 #: Word bytes: ASCII digits and letters, and every byte of a character beyond ASCII.
 WORD = np.zeros(256, bool)
@@ -113,6 +117,18 @@ def fold(buf: np.ndarray, latin: bool) -> np.ndarray:
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray, latin: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of these texts: text number, 64-bit hash, start and end byte."""
+    if len(buf) > PIECE:
+        parts = []
+        for a, b in _pieces(buf):
+            i = int(np.searchsorted(offsets, a, side="right")) - 1
+            j = int(np.searchsorted(offsets, b))
+            doc, h, s, e = _word_hashes(buf[a:b], np.clip(offsets[i : j + 1], a, b) - a, latin)
+            parts.append((doc + i, h, s + a, e + a))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    return _word_hashes(buf, offsets, latin)
+
+
+def _word_hashes(buf: np.ndarray, offsets: np.ndarray, latin: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = runs(WORD[buf], offsets)
     if not len(starts):
         z = np.zeros(0, np.int64)
@@ -125,6 +141,21 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, latin: bool = True) -> tup
     return np.searchsorted(offsets, starts, side="right") - 1, hashes, starts, ends
 
 
+def _pieces(buf: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``PIECE`` bytes that end between words, however long a word is."""
+    a = 0
+    while a < len(buf):
+        b = min(len(buf), a + PIECE)
+        while b < len(buf):
+            gap = np.flatnonzero(~WORD[buf[b : b + 4096]])
+            if len(gap):
+                b += int(gap[0])
+                break
+            b = min(len(buf), b + 4096)
+        yield a, b
+        a = b
+
+
 def hash_word(word: str) -> np.uint64:
     """The hash that :func:`word_hashes` gives this one word."""
     raw = np.frombuffer(word.encode(), np.uint8)

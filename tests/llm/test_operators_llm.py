@@ -49,6 +49,16 @@ def test_latin_fold_and_nulls():
     assert list(doc) == [0, 2] and h[0] == h[1]
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    rng = random.Random(2)
+    texts = [prose(rng, 300), "", "x" * 9000 + " " + "é" * 5000, None, prose(rng, 2000), "end"]
+    data, offsets = bv.column_bytes(pa.array(texts))
+    whole = bv.word_hashes(data, offsets)
+    for piece in (100, 4096, 5000):
+        monkeypatch.setattr(bv, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(whole, bv.word_hashes(data, offsets)))
+
+
 # ---- 1: top-k
 
 def brute_topk(vectors, k=20):
@@ -486,6 +496,84 @@ def test_mixed_texts(spark):
     assert all(set(r.text.split()) <= set(rows[k][1].split()) for k, r in got.items())
 
 
+def test_mixed_keeps_repeats_and_clashing_names(spark):
+    rng = random.Random(10)
+    rows = [(i // 2, prose(rng, 30), "en", "a") for i in range(20)]
+    rows += [(50, rows[0][1], "en", "b"), (50, rows[0][1], "en", "b"), (50, rows[0][1], "en", None), (None, "x y z", "en", "a"), (60, None, "en", "a"), (61, "", "en", None)]
+    d = docs(spark, rows).withColumn("__h", F.lit(1)).withColumn("__n", F.lit(2)).withColumn("parts", F.lit("p")).withColumn("__size", F.lit("z"))
+    out, want = mixing.mixed(d, block=4), Counter()
+    assert out.columns == d.columns
+    for r in mixing.taken(d, block=4).collect():
+        want[r.doc_id, r.source] += r.taken
+    got = Counter()
+    for r in out.collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+        assert (r["__h"], r["__n"], r.parts, r["__size"]) == (1, 2, "p", "z")
+    assert got == Counter({k: v for k, v in want.items() if v})
+    assert mixing.mixed(d.where("false")).count() == 0
+
+
+def test_mixed_shards(spark, tmp_path):
+    rng, rows = random.Random(11), []
+    for i in range(300):
+        rows.append((i, prose(rng, rng.choice([3, 40, 300])), "en", rng.choice(["a", "b", "b", None])))
+    rows += [(7, rows[7][1], "en", rows[7][3]), (None, "p q r", "en", "a"), (400, None, "en", "a")]
+    d = docs(spark, rows).withColumn("shard", F.lit(1))
+    mixing.write_shards(d, f"file://{tmp_path}/mix", block=8, shard_slots=50)
+    got = spark.read.parquet(f"file://{tmp_path}/mix").collect()
+    goals = {r.source: r for r in mixing.taken(d, block=8).collect()}
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r.shard, []).append(r)
+    n = max(by_shard) + 1
+    assert sorted(by_shard) == list(range(n)) and n > 20
+    # every shard but the last is full, its slots are numbered, and its sources follow the targets
+    weight = {s: g.target for s, g in goals.items()}
+    chi = 0.0
+    for shard, slots in by_shard.items():
+        assert sorted(r.slot for r in slots) == list(range(50 if shard < n - 1 else len(slots)))
+        if shard < n - 1:
+            count = Counter(r.source for r in slots)
+            chi += sum((count[s] - 50 * w / sum(weight.values())) ** 2 / (50 * w / sum(weight.values())) for s, w in weight.items())
+    assert chi < 2 * (len(weight) - 1) * n
+    # blocks are their documents' words, and what the shards hold of a document is what ``taken`` says
+    taken, text = Counter(), {}
+    for i, t, _, s in rows:
+        text.setdefault((i, s), t)
+    for r in got:
+        words = [w for p in r.docs for w in text[p.doc_id, r.source].split()[p.lo : p.hi]]
+        assert r.text.split() == words and r.words == len(words) <= 8
+        for p in r.docs:
+            taken[p.doc_id] += p.hi - p.lo
+    want = Counter()
+    for r in mixing.taken(d, block=8).collect():
+        want[r.doc_id] += r.taken
+    assert taken == Counter({k: v for k, v in want.items() if v})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=6), st.integers(0, 100), st.integers(1, 20))
+def test_dealing_by_halves(counts, seed, size):
+    counts, got = np.array(counts, np.int64), []
+    n = -(-int(counts.sum()) // size)
+    todo = [(0, n, counts, np.zeros(len(counts), np.int64))] if n else []
+    while todo:
+        lo, hi, c, f = todo.pop()
+        if hi - lo > 1:
+            todo += mixing.halves(lo, hi, c, f, size, seed)
+        else:
+            got.append((lo, c, f))
+    got.sort(key=lambda x: x[0])
+    before = np.zeros(len(counts), np.int64)
+    for lo, c, f in got:
+        assert (f == before).all() and (c >= 0).all() and (lo == n - 1 or c.sum() == size)
+        before += c
+    assert (before == counts).all()
+    big = np.array([7 * 10**9, 3 * 10**9, 5], np.int64)
+    part = mixing.deal(big, 10**9 + 1, np.random.default_rng(1))
+    assert part.sum() == 10**9 + 1 and abs(int(part[0]) - 7 * 10**8) < 10 and (part <= big).all()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 2**40))
 def test_permutation(n, key):
