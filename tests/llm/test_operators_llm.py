@@ -75,7 +75,10 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     rows = [(i, [float(x) for x in rng.normal(0, 0.1, 6)]) for i in range(300)] + [(400, [0.1, 0.2]), (420, []), (20 * 30, [1e300] * 6)]
     rows += [(500, None), (501, [None, 1.0]), (502, [float("nan")] * 6), (None, [1.0]), (0, rows[0][1])]
     monkeypatch.setattr(topk, "CHUNK", 64)
-    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "LEAST", 64)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "GROUP", 3)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 8 * 6 * 50)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("q", F.lit(2))
     got = sorted(tuple(r) for r in topk.search(df.where("vec_id is null or vec_id <> 600"), F.col("vec_id") % 20 == 0).collect())
     kept = {i: [math.floor(64 * x) for x in v] for i, v in rows if i is not None and i not in (500, 501, 502, 600)}
@@ -93,6 +96,39 @@ def test_topk_ties_pruning_and_empty(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_of_clusters(spark, monkeypatch):
+    # vectors of one cluster follow each other: a query's chunk is told by its bounds
+    rng, rows = np.random.default_rng(3), []
+    for i in range(1600):
+        v = np.zeros(8)
+        v[i // 200] = 1 + rng.random() / 10
+        rows.append((i, v.tolist()))
+    monkeypatch.setattr(topk, "LEAST", 200)
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == brute_topk({i: [math.floor(64 * x) for x in v] for i, v in rows})
+
+
+def test_topk_floors_are_exact():
+    rng = np.random.default_rng(4)
+    ids, w = np.arange(100), rng.integers(-9, 9, (100, 5))
+    index = topk.BlockIndex(ids, w, 30)
+    q = rng.integers(-9, 9, (40, 5))
+    qids, block = np.arange(0, 80, 2), rng.integers(0, 4, 40)
+    got = index.floors(qids, q, block, 12)
+    for i in range(40):
+        at = np.arange(30 * block[i], min(100, 30 * block[i] + 30))
+        scores = sorted((int(x) for x, j in zip(w[at] @ q[i], at) if j != qids[i]), reverse=True)
+        assert got[i] == (scores[11] if len(scores) >= 12 else topk._NO_FLOOR)
+    # a floor cuts the search short and keeps what reaches it
+    free = index.search(qids, q, 12)
+    visits = index.visits
+    floor = np.array([sorted((int(x) for x, j in zip(w @ q[i], ids) if j != qids[i]), reverse=True)[11] for i in range(40)])
+    some = index.search(qids, q, 12, floor)
+    assert sorted(zip(*free)) == sorted(zip(*some)) and index.visits <= visits
+
+
 def test_topk_wide_values():
     big = np.array([[2**40, -(2**40)]], np.int64)
     _, _, score = topk.BlockIndex(np.array([1]), big).search(np.array([2]), np.array([[2**40, 2**40]]), 1)
