@@ -364,15 +364,20 @@ def test_block_max_is_exact(seed, k):
     owner, term, weight = (np.array(x) for x in zip(*((i, t, w) for i, v in enumerate(vectors) for t, w in v.items())))
     index = toxicity.BlockMaxIndex(owner, term, weight, np.arange(300), np.zeros(300), 31)
     q = vectors[7] | {30: 0.2}
-    score, near = index.top(np.array(list(q)), np.array(list(q.values())), k, 7)
+    more = [q, vectors[9], {}]
+    doc, term, weight = (np.array(x) for x in zip(*((i, t, w) for i, v in enumerate(more) for t, w in v.items())))
+    got = index.top(doc, term, weight, 3, k, [7, None, 3])
+    assert len(got) == 3 and not len(got[2][0]) and index.ids[got[1][1][0]] in [i for i, v in enumerate(vectors) if v == vectors[9]]
+    score, near = got[0]
     want = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors) if i != 7))
     assert list(zip(index.ids[near].tolist(), score)) == [(i, -s) for s, i in want if s < 0][:k]
 
 
-def test_block_max_prunes():
+def test_block_max_prunes(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
     owner, term = np.arange(2000), np.repeat(np.arange(20), 100)
     index = toxicity.BlockMaxIndex(owner, term, np.ones(2000), np.arange(2000), np.zeros(2000), 20)
-    score, near = index.top(np.array([4, 5]), np.array([0.9, 0.1]), 5)
+    ((score, near),) = index.top(np.zeros(2, int), np.array([4, 5]), np.array([0.9, 0.1]), 1, 5, [None])
     assert index.ids[near].tolist() == [400, 401, 402, 403, 404] and index.visits <= 4
 
 
