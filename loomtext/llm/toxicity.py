@@ -29,6 +29,8 @@ gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +62,7 @@ class BlockMaxIndex:
     def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, terms: int):
         n, self.block = len(ids), BLOCK
         keep = weight > 0
-        owner, term, weight = owner[keep], term[keep], weight[keep]
+        owner, term, weight = owner[keep].astype(np.int32), term[keep].astype(np.int32), weight[keep]
         # alike vectors share a block: by their most common term, which tells the language, then by their strongest one and their number of terms
         df, size = np.bincount(term, minlength=terms), np.bincount(owner, minlength=n)
         common, strong = np.full(n, -1), np.full(n, -1)
@@ -77,7 +79,7 @@ class BlockMaxIndex:
         # full rows for the most common terms, in at least one of 32 examples
         full = np.argsort(-df, kind="stable")[:ROWS]
         full = full[df[full] * 32 >= n]
-        self.row = np.full(terms, -1)
+        self.row = np.full(terms, -1, np.int16)
         self.row[full] = np.arange(len(full))
         self.width = self.blocks * self.block
         self.rows = np.zeros((len(full), self.width))
@@ -87,7 +89,7 @@ class BlockMaxIndex:
         owner, term, weight = owner[~mine], term[~mine], weight[~mine]
         o = np.argsort(term, kind="stable")
         self.example, self.weight = place[owner[o]].astype(np.int32), weight[o]
-        self.first = np.searchsorted(term[o], np.arange(terms + 1))
+        self.first = np.searchsorted(term[o], np.arange(terms + 1)).astype(np.int32)
         self.place = {int(d): k for k, d in enumerate(self.ids)}
         self.visits = 0
 
@@ -101,7 +103,7 @@ class BlockMaxIndex:
         return out
 
     def _top(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int, not_ids: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        row = self.row[term]
+        row = self.row[term].astype(np.int64)
         common = np.zeros((m, len(self.rows)))
         at = row >= 0
         common[doc[at], row[at]] = weight[at]
@@ -143,13 +145,35 @@ class BlockMaxIndex:
         return [(score[o[x : min(x + k, y)]], near[o[x : min(x + k, y)]]) for x, y in zip(cut, cut[1:])]
 
 
+#: What this worker read last.
+_loaded: dict[str, object] = {}
+
+
+def save(thing: object, folder: str) -> str:
+    """Write to the shared folder, from where each worker reads it once: a broadcast would lie on every disk twice. The name is the attempt's own."""
+    fs, name = scratch.filesystem(folder)
+    fs.create_dir(name, recursive=True)
+    part = uuid.uuid4().hex
+    with fs.open_output_stream(f"{name}/{part}") as f:
+        pickle.dump(thing, f, protocol=5)
+    return f"{folder}/{part}"
+
+
+def load(path: str) -> object:
+    if path not in _loaded:
+        fs, name = scratch.filesystem(path)
+        _loaded.clear()
+        with fs.open_input_stream(name) as f:
+            _loaded[path] = pickle.load(f)  # noqa: S301 (our own file)
+    return _loaded[path]
+
+
 class Model:
-    """Word weights, the index and the calibration."""
+    """Word weights and the index."""
 
     def __init__(self, words: np.ndarray, weight: np.ndarray, other: np.ndarray, base: float, neighbours: int):
         self.words, self.weight, self.other, self.base, self.k = words, weight, other, base, neighbours
         self.index: BlockMaxIndex | None = None
-        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vectors(self, known: bv.HashSet, doc: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, terms and weights of unit vectors, of distinct (text, word) pairs with counts."""
@@ -166,19 +190,22 @@ class Model:
 
 
 def distinct_words(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, word) pairs, sorted, with counts."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
-    return doc[first], h[first], np.diff(np.append(first, len(h)))
+    """Distinct (text, word) pairs, sorted, with counts; words are named by 48 bits of their hashes, texts are fewer than 2**16."""
+    key = doc.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
+    key.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    count, key = np.diff(np.append(first, len(key))), key[first]
+    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), count
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of the texts and their distinct words."""
     data, offsets = bv.column_bytes(column)
-    for i, j in bv.slices(offsets):
-        doc, h, _, _ = bv.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        yield i, j, *distinct_words(doc, h)
+    for a, b in bv.slices(offsets):
+        for i in range(a, b, 1 << 16):
+            j = min(b, i + (1 << 16))
+            doc, h, _, _ = bv.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield i, j, *distinct_words(doc, h)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +235,11 @@ def sample_labels(labels: DataFrame, doc_id: str, label: str, positives: int, ne
     return one.where(kept).withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).select("doc_id", "label", "h")
 
 
-def _examples(docs: DataFrame, sample: DataFrame, text: str, doc_id: str, max_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, labels, and the owners, hashes and counts of their distinct words."""
+_EXAMPLES = "doc_id long, label int, h binary, n binary"
+
+
+def _examples(docs: DataFrame, sample: DataFrame, text: str, doc_id: str, max_bytes: int) -> DataFrame:
+    """The examples (``_EXAMPLES``) with the hashes and counts of their distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,25 +252,52 @@ def _examples(docs: DataFrame, sample: DataFrame, text: str, doc_id: str, max_by
     # at most the sampled rows: one after the other until their bytes reach the bound
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     texts = texts.withColumn("bytes", size).where(F.col("bytes") <= max_bytes // 2)
-    got = texts.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(bv.lean(run), "doc_id long, label int, h binary, n binary").toArrow().sort_by("doc_id")
-    h, n = (np.frombuffer(b"".join(got[c].to_pylist()), kind) for c, kind in (("h", np.uint64), ("n", np.int32)))
-    sizes = np.array([len(x) // 8 for x in got["h"].to_pylist()], np.int64)
-    return got["doc_id"].to_numpy(), got["label"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes), h, n.astype(np.float64)
+    return materialize(texts.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(bv.lean(run), _EXAMPLES), "examples")
+
+
+def _bags(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, hash and count of all words of these examples."""
+    h = batch.column(2).to_pylist()
+    owner = np.repeat(np.arange(len(h), dtype=np.int32), [len(x) // 8 for x in h])
+    return owner, np.frombuffer(b"".join(h), np.uint64), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32)
 
 
-def document_counts(docs: DataFrame, words: np.ndarray, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rows, of rows with each of these words, and of (row, other word) pairs by counter."""
-    slots = 1 + len(words) + OTHERS
+def _in_one_task(examples: DataFrame, folder: str, build) -> tuple:
+    """What ``build`` makes of the bounded table of examples, saved, and what it reports: (path, report)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        table = pa.Table.from_batches(got).sort_by("doc_id") if got else None
+        made, report = build(table) if table is not None else (None, [])
+        yield pa.RecordBatch.from_arrays([pa.array([save(made, folder)]), pa.array([list(report)], pa.list_(pa.int64()))], names=["path", "report"])
+
+    return tuple(examples.coalesce(1).mapInArrow(bv.lean(run), "path string, report array<long>").collect()[0])
+
+
+def _vocabulary(table: pa.Table) -> tuple[tuple, list[int]]:
+    """Sorted hashes of all words of the examples and in how many toxic and other examples each is; reported: toxic and other examples, words."""
+    owner, h, _ = _bags(table)
+    words, term = np.unique(h, return_inverse=True)
+    y = table.column(1).to_numpy()
+    toxic, seen = np.bincount(term, y[owner], len(words)), np.bincount(term, minlength=len(words))
+    return (words, toxic, seen - toxic), [int(y.sum()), int((1 - y).sum()), len(words)]
+
+
+def document_counts(docs: DataFrame, vocabulary: str, n_words: int, text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, of rows with each word of the saved vocabulary, and of (row, other word) pairs by counter."""
+    slots = 1 + n_words + OTHERS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = bv.HashSet(words), np.zeros(-(-slots // PART) * PART, np.uint32)
+        known, total = bv.HashSet(load(vocabulary)[0]), np.zeros(-(-slots // PART) * PART, np.uint32)
         for batch in batches:
             total[0] += batch.num_rows
             for _, _, _, h, _ in _texts(batch.column(0)):
                 at, term = known.find(h)
-                slot = 1 + len(words) + (h & np.uint64(OTHERS - 1)).astype(np.int64)
+                slot = 1 + n_words + (h & np.uint64(OTHERS - 1)).astype(np.int64)
                 slot[at] = 1 + term
-                total += np.bincount(slot, minlength=len(total)).astype(np.uint32)
+                # a slot is a text's word or one of several that share it
+                slot, n = np.unique(slot, return_counts=True)
+                total[slot] += n.astype(np.uint32)
         if total[0]:
             rows = total.reshape(-1, PART)
             at = np.flatnonzero(rows.any(1))
@@ -260,7 +317,7 @@ def document_counts(docs: DataFrame, words: np.ndarray, text: str) -> tuple[int,
     total = np.zeros(-(-slots // PART) * PART, np.int64)
     for part, raw in got:
         total[part * PART : (part + 1) * PART] = np.frombuffer(raw, np.int64)
-    return int(total[0]), total[1 : 1 + len(words)], total[1 + len(words) : slots]
+    return int(total[0]), total[1 : 1 + n_words], total[1 + n_words : slots]
 
 
 def lift(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
@@ -269,34 +326,45 @@ def lift(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np
     return np.maximum(0.0, np.log(a * d / (b * c)) - DEVIATIONS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = 2000, negatives: int = 6000, max_bytes: int = 48 << 20, neighbours: int = 15) -> Model:
-    """The model; its size is bounded by the examples' number and bytes."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = 2000, negatives: int = 6000, max_bytes: int = 48 << 20, neighbours: int = 15) -> tuple[str | None, float, tuple[np.ndarray, np.ndarray]]:
+    """(path of the model, base rate, calibration); no path without examples of both classes.
+
+    The model's size is bounded by the examples' number and bytes; one task builds it, and the
+    driver sees no more of it than a counter for each word.
+    """
     spark = docs.sparkSession
+    folder = scratch.new_path(spark, "toxicity")
     sample = materialize(sample_labels(labels, doc_id, label, positives, negatives), "sample")
-    ids, y, owner, h, n = _examples(docs, sample, text, doc_id, max_bytes)
-    base = float(y.mean()) if len(y) else 0.0
-    words, term = np.unique(h, return_inverse=True)
-    if not len(words) or y.min() == y.max():
-        return Model(words, np.zeros(len(words)), np.zeros(OTHERS), base, neighbours)
-    rows, df, other = document_counts(docs, words, text)
-    toxic, seen = np.bincount(term, y[owner], len(words)), np.bincount(term, minlength=len(words))
-    idf = lambda f: np.log((1 + rows) / (1 + f)) + 0.1
-    model = Model(words, idf(df) * (FLOOR + lift(toxic, seen - toxic, int(y.sum()), int((1 - y).sum()))), idf(np.minimum(other, rows)), base, neighbours)
-    o, t, w = model.vectors(bv.HashSet(words), owner, h, n, len(ids))
-    model.index = BlockMaxIndex(o, t, w, ids, y, len(words))
-    cut = np.searchsorted(o, np.arange(len(ids) + 1))
+    examples = _examples(docs, sample, text, doc_id, max_bytes)
+    vocabulary, report = _in_one_task(examples, folder, _vocabulary)
+    n_toxic, n_other, n_words = report or (0, 0, 0)
+    base = n_toxic / max(1, n_toxic + n_other)
+    knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    if not (n_toxic and n_other and n_words):
+        return None, base, knots
+    rows, df, other = document_counts(docs, vocabulary, n_words, text)
+    df, other = df.astype(np.int64), np.minimum(other, rows)
+
+    def build(table: pa.Table) -> tuple[Model, list[int]]:
+        words, toxic, clean = load(vocabulary)
+        idf = lambda f: np.log((1 + rows) / (1 + f)) + 0.1
+        model = Model(words, idf(df) * (FLOOR + lift(toxic, clean, n_toxic, n_other)), idf(other), base, neighbours)
+        owner, h, n = _bags(table)
+        model.index = BlockMaxIndex(*model.vectors(bv.HashSet(words), owner, h, n, table.num_rows), table.column(0).to_numpy(), table.column(1).to_numpy(), len(words))
+        return model, []
+
+    path, _ = _in_one_task(examples, folder, build)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        known = bv.HashSet(model.words)
         for batch in batches:
-            a, b = batch.column(0)[0].as_py(), batch.column(0)[-1].as_py() + 1
-            x = slice(cut[a], cut[b])
-            got = model.votes(o[x] - a, t[x], w[x], b - a, ids[a:b].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for v, _ in got])], names=["id", "vote"])
+            found = model.votes(*model.vectors(known, *_bags(batch), batch.num_rows), batch.num_rows, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v for v, _ in found])], names=["doc_id", "label", "vote"])
 
-    raw = dict(spark.range(0, len(ids), 1, max(1, len(ids) // 200)).mapInArrow(bv.lean(votes), "id long, vote double").collect())
-    model.knots = isotonic(np.array([raw[i] for i in range(len(ids))]), y.astype(float))
-    scratch.drop_tables(sample)
-    return model
+    raw = sorted(examples.repartition(max(1, (n_toxic + n_other) // 500)).mapInArrow(bv.lean(votes), "doc_id long, label int, vote double").collect())
+    scratch.drop_tables(sample, examples)
+    return path, base, isotonic(np.array([r[2] for r in raw]), np.array([float(r[1]) for r in raw]))
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = 2000, negatives: int = 6000, max_bytes: int = 48 << 20, neighbours: int = 15, threshold: float = 0.7) -> DataFrame:
@@ -305,22 +373,23 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     ``n_terms`` counts the text's distinct words that an example has. ``evidence`` lists the ids
     of the nearest labelled examples, the nearest first.
     """
-    model = fit(docs, labels, text, doc_id, label, positives, negatives, max_bytes, neighbours)
+    path, base, knots = fit(docs, labels, text, doc_id, label, positives, negatives, max_bytes, neighbours)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bv.HashSet(model.words)
+        model = load(path) if path else None
+        known = bv.HashSet(model.words) if model else None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            s, sizes, lists = np.full(len(ids), model.base), np.zeros(len(ids), np.int32), [[]] * len(ids)
-            for i, j, doc, h, n in _texts(batch.column(2)) if model.index else ():
+            s, sizes, lists = np.full(len(ids), base), np.zeros(len(ids), np.int32), [[]] * len(ids)
+            for i, j, doc, h, n in _texts(batch.column(2)) if model else ():
                 o, t, w = model.vectors(known, doc, h, n, j - i)
                 full = np.bincount(doc, minlength=j - i) > 0
                 sizes[i:j] = np.bincount(o, minlength=j - i)
                 got = model.votes(o, t, w, j - i, ids[i:j])
                 for k in np.flatnonzero(full):
                     vote, near = got[k]
-                    s[i + k], lists[i + k] = np.interp(vote, *model.knots), model.index.ids[near].tolist()
+                    s[i + k], lists[i + k] = np.interp(vote, *knots), model.index.ids[near].tolist()
             s = np.clip(s, 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(sizes), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "n_terms", "evidence"])
 

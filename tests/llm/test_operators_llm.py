@@ -390,7 +390,7 @@ def brute_toxicity(rows, labels, k=15, floor=0.02):
     bag = {i: words(t) for i, t in examples.items()}
     n1 = sum(labels[i] for i in examples)
     n0, base = len(examples) - n1, n1 / len(examples)
-    slot = lambda w: int(bv.hash_word(w)) % toxicity.OTHERS
+    slot = lambda w: (int(bv.hash_word(w)) >> 16) % toxicity.OTHERS
     vocabulary = {w for b in bag.values() for w in b}
     shared = Counter()
     for w, f in df.items():
