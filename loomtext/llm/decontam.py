@@ -8,9 +8,13 @@ that overlaps no earlier tile, in either text, is marked, again and again, until
 contaminated when the tiles cover at least ``threshold`` of the item's words.
 
 Items whose bytes stay under ``max_broadcast_bytes`` are sent to all tasks and the documents
-are scanned in place, without a shuffle. Beyond it the seeds are joined by a shuffle.
+are scanned in place, without a shuffle. Beyond it the seeds are joined by a shuffle: an item's
+most frequent seeds are left out as far as the others must hold a match anyway, seeds of more
+than ``HOT`` documents are salted, and a document's text travels once, to the items whose
+threshold its seeds can reach.
 
-Defined results: null or empty texts match nothing. Items with fewer than ``MIN_TILE`` words
+Defined results: texts may be of any length, with 50 bytes of memory a word. Null or
+empty texts match nothing. Items with fewer than ``MIN_TILE`` words
 are too short to be evidence and match nothing. Equal items match each under its own id, with
 null item ids allowed. Repeated documents give repeated rows. Documents with a null id are
 scanned, and filtered, like others. Other columns are ignored, whatever their names.
@@ -23,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytesvec as bv
+from .scratch import materialize
 
-MIN_TILE, THRESHOLD, MAX_BROADCAST = 4, 0.6, 16 << 20
+MIN_TILE, THRESHOLD, MAX_BROADCAST, HOT = 4, 0.6, 16 << 20, 10_000
 
 
 def tile(doc: np.ndarray, item: np.ndarray, pairs: np.ndarray, s: int) -> list[tuple[int, int, int]]:
@@ -66,6 +71,7 @@ class Items:
         doc, h, _, _ = bv.word_hashes(data, offsets)
         self.words = [h[a:b] for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(ids)))))))] if len(ids) else []
         at, g = bv.gram_hashes(doc, h, s)
+        self.longest = max((len(w) for w in self.words), default=0)
         start = np.concatenate(([0], np.cumsum([len(w) for w in self.words]))).astype(np.int64)
         order = np.argsort(g, kind="stable")
         self.seeds = bv.HashSet(g)
@@ -79,19 +85,29 @@ class Items:
         if not len(hit):
             return
         where = at[hit]
-        times = self.bounds[seed + 1] - self.bounds[seed]
-        pick = np.repeat(self.bounds[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        row, place, item, spot = np.repeat(doc[where], times), np.repeat(where, times), self.item[pick], self.place[pick]
+        # of one word repeated on and on, twice the longest item holds every tile
+        run = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1] + 1) | (seed[1:] != seed[:-1]))))
+        near = np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where)))) < 2 * self.longest
+        where, seed = where[near], seed[near]
+        order = np.lexsort((where, seed, doc[where]))
+        where, seed = where[order], seed[order]
+        row = doc[where]
+        # distinct (row, seed), and the places of each in the items
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (seed[1:] != seed[:-1]))))
+        last = np.append(first[1:], len(where))
+        times = self.bounds[seed[first] + 1] - self.bounds[seed[first]]
+        pick = np.repeat(self.bounds[seed[first]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        group, item, spot = np.repeat(np.arange(len(first)), times), self.item[pick], self.place[pick]
         start = np.searchsorted(doc, np.arange(rows + 1))
-        key = row * len(self.ids) + item
+        key = row[first][group] * len(self.ids) + item
         order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
-        for a, b in zip(first, np.append(first[1:], len(order))):
-            group = order[a:b]
-            r, k = int(row[group[0]]), int(item[group[0]])
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+            mine = order[a:b]
+            r, k = int(row[first[group[mine[0]]]]), int(item[mine[0]])
             m = len(self.words[k])
             need = self.threshold * m
-            spots = np.unique(spot[group])
+            spots = np.unique(spot[mine])
             if len(spots) * self.s < need:
                 continue
             covered = np.zeros(m, bool)
@@ -99,7 +115,10 @@ class Items:
                 covered[spots + o] = True
             if covered.sum() < need:
                 continue
-            tiles = tile(h[start[r] : start[r + 1]], self.words[k], np.stack([place[group] - start[r], spot[group]], 1), self.s)
+            # only now every place of a seed in the text meets every place in the item
+            many = (last - first)[group[mine]]
+            places = where[np.repeat(first[group[mine]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            tiles = tile(h[start[r] : start[r + 1]], self.words[k], np.stack([places - start[r], np.repeat(spot[mine], many)], 1), self.s)
             if sum(n for _, _, n in tiles) >= need:
                 yield r, k, tiles
 
@@ -159,39 +178,56 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 def _joined(docs: DataFrame, items: DataFrame, schema: str, s: int, threshold: float) -> DataFrame:
     """The same pairs with seeds joined by a shuffle, for item sets of any size.
 
-    Seeds that occur in documents are rows (document, seed), one for each distinct seed, so
-    no key is repeated within a document; the join is on the seed and spills.
+    Rows are keyed by their content, so equal rows are searched once. The join is on seeds that
+    both sides have, one row for each text and distinct seed.
     """
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """key, seed, its places in the text, and the text's words."""
         for batch in batches:
             data, offsets = bv.column_bytes(batch.column(1))
             for i, j in bv.slices(offsets):
                 doc, h, _, _ = bv.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at, g = bv.gram_hashes(doc, h, s)
                 if len(at):
-                    pair = np.unique(np.stack([doc[at].astype(np.uint64), g]), axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[0].astype(np.int64) + i)), pa.array(pair[1].view(np.int64))], names=["k", "seed"])
+                    order = np.lexsort((g, doc[at]))
+                    d, g = doc[at][order], g[order]
+                    first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]))))
+                    d, places = d[first], np.diff(np.append(first, len(g)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d + i)), pa.array(g[first].view(np.int64)), pa.array(places), pa.array(np.bincount(doc, minlength=j - i)[d])], names=["key", "seed", "places", "words"])
 
-    # rows are keyed by their content, so equal rows are tiled once and rejoined
+    kind = "key long, seed long, places long, words long"
     d = docs.withColumn("k", F.xxhash64("doc_id", "text"))
-    t = items.withColumn("q", F.xxhash64("item_id", "item"))
-    left = d.select("k", "text").dropDuplicates(["k"]).mapInArrow(bv.lean(seeds), "k long, seed long")
-    right = t.select("q", "item").dropDuplicates(["q"]).mapInArrow(bv.lean(seeds), "k long, seed long").withColumnRenamed("k", "q")
-    pairs = left.join(right, "seed").groupBy("k", "q").count().drop("count")
-    both = pairs.join(t.dropDuplicates(["q"]), "q").join(d, "k").select("doc_id", "text", "item_id", "item")
+    t = items.withColumn("q", F.xxhash64("item_id", "item")).dropDuplicates(["q"])
+    right = materialize(t.select("q", "item").mapInArrow(bv.lean(seeds), kind), "item-seeds")
+    left = d.select("k", "text").mapInArrow(bv.lean(seeds), kind).select("key", "seed").distinct()
+    left = materialize(left.join(right.select("seed").distinct(), "seed", "left_semi"), "seeds")
+    found = left.groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
+    # an item needs so many places in the text; its most frequent seeds are left out while fewer than that
+    order = Window.partitionBy("q").orderBy(F.desc("df"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    need = F.col("words") * threshold / s
+    ranked = right.withColumnRenamed("key", "q").join(found, "seed").withColumn("before", F.sum("places").over(order))
+    without = F.max(F.when(F.col("before") < need, F.col("before")).otherwise(0)).over(Window.partitionBy("q"))
+    ranked = materialize(ranked.withColumn("without", without).where(F.col("before") >= need), "ranked")
+    # a hot seed's rows are spread: salted on the documents' side, repeated on the items'
+    salts = F.ceil(F.col("df") / HOT).cast("int")
+    hot = ranked.where(F.col("df") > HOT).select("seed", salts.alias("salts")).distinct()
+    few = hot.count() <= 100_000
+    left = left.join(F.broadcast(hot) if few else hot, "seed", "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int"))
+    right = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    pairs = left.select("key", "seed", "salt").join(right.select("q", "seed", "salt", "places", "words", "without"), ["seed", "salt"])
+    pairs = pairs.groupBy("key", "q").agg(F.sum("places").alias("n"), F.max("without").alias("without"), F.max("words").alias("words")).where((F.col("n") + F.col("without")) * s >= F.col("words") * threshold)
+    asked = pairs.join(t, "q").groupBy("key").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    both = d.join(asked, F.col("k") == F.col("key")).select("doc_id", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, words = [], []
-            for r, item in enumerate(batch.column(3).to_pylist()):
-                one = Items([0], [item], s, threshold)
-                for _, k, tiles in one.scan(batch.column(1).slice(r, 1)):
-                    found.append((r, k, tiles))
-                    words.append(len(one.words[0]))
-            if found:
-                at = pa.array([r for r, *_ in found])
-                yield _record(found, words, batch.column(0).take(at), batch.column(2).take(at))
+            for r in range(batch.num_rows):
+                asked = batch.column(2)[r].values
+                one = Items(list(range(len(asked))), asked.field(1).to_pylist(), s, threshold)
+                found = list(one.scan(batch.column(1).slice(r, 1)))
+                if found:
+                    yield _record(found, [len(one.words[k]) for _, k, _ in found], batch.column(0).take(pa.array([r] * len(found))), asked.field(0).take(pa.array([k for _, k, _ in found])))
 
     return both.mapInArrow(bv.lean(run), schema)
 
@@ -201,9 +237,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     small = _small(benchmark, item_id, item_text, max_broadcast_bytes)
     if small is None:
         key = F.xxhash64(F.lit(0), F.col(text))
-        keyed = docs.select(key.alias("doc_id"), text)
-        bad = contaminated(keyed, benchmark, text, "doc_id", item_id, item_text, min_tile, threshold, max_broadcast_bytes).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, key == F.col("__bad"), "left_anti")
+        keyed = docs.select(key.alias("doc_id"), F.col(text).alias(text))
+        name = "__bad"
+        while name in docs.columns:
+            name += "_"
+        bad = contaminated(keyed, benchmark, text, "doc_id", item_id, item_text, min_tile, threshold, max_broadcast_bytes).select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(bad, key == F.col(name), "left_anti")
     ids, texts = small
     at = docs.columns.index(text)
 

@@ -184,6 +184,31 @@ def test_decontamination(spark, limit):
     assert decontam.contaminated(docs(spark, rows), bench_rows(spark, []), max_broadcast_bytes=limit).count() == 0
 
 
+def test_decontamination_with_a_seed_in_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "HOT", 7)
+    rng, rows = random.Random(13), []
+    hot = "one two three four five"
+    items = [(k, f"{hot} " + prose(rng, 12)) for k in range(5)] + [(7, hot), (8, "it " * 30), (9, f"{hot} {hot} {hot}")]
+    for i in range(120):
+        middle = items[i % 5][1].split()[5:] if i % 3 == 0 else []
+        rng.shuffle(middle) if i % 2 else None
+        rows.append((i, f"{prose(rng, 5)} {hot} {' '.join(middle)} {prose(rng, 9)}" + (" it" * rng.choice([0, 10, 4000]))))
+    rows += [(120, rows[0][1]), (5, rows[5][1]), (None, rows[6][1])]
+    both = []
+    for limit in (1 << 20, 0):
+        got = decontam.contaminated(docs(spark, rows), bench_rows(spark, items), max_broadcast_bytes=limit)
+        both.append(sorted((str(r.doc_id), str(r.item_id), r.matched_words, r.tiles, str(r.spans)) for r in got.collect()))
+    assert both[0] == both[1] and {x[1] for x in both[0]} == {"0", "1", "2", "3", "4", "7", "8"}
+    by = lambda t: re.findall("[a-z0-9]+", t.lower())
+    want = set()
+    for i, t in rows:
+        for k, x in items:
+            if len(by(t)) < 200 and brute_tiles(by(t), by(x), 4) >= 0.6 * len(by(x)):
+                want.add((str(i), str(k)))
+    short = {str(i) for i, t in rows if len(by(t)) < 200}
+    assert {x[:2] for x in both[0] if x[0] in short} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=4, max_size=14), st.lists(st.integers(0, 2), min_size=4, max_size=10))
 def test_tiling_matches_definition(a, b):
