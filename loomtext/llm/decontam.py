@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytesvec as bv
-from .scratch import materialize
+from .scratch import fresh, materialize
 
 MIN_TILE, THRESHOLD, MAX_BROADCAST, HOT = 4, 0.6, 16 << 20, 10_000
 
@@ -238,9 +238,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     if small is None:
         key = F.xxhash64(F.lit(0), F.col(text))
         keyed = docs.select(key.alias("doc_id"), F.col(text).alias(text))
-        name = "__bad"
-        while name in docs.columns:
-            name += "_"
+        (name,) = fresh(docs, "bad")
         bad = contaminated(keyed, benchmark, text, "doc_id", item_id, item_text, min_tile, threshold, max_broadcast_bytes).select(F.col("doc_id").alias(name)).distinct()
         return docs.join(bad, key == F.col(name), "left_anti")
     ids, texts = small

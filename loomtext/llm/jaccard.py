@@ -130,7 +130,8 @@ def one_per_id(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     if docs.groupBy(doc_id).count().where("count > 1").limit(1).count() == 0:
         return docs
     order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())
-    return docs.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    (r,) = scratch.fresh(docs, "r")
+    return docs.withColumn(r, F.row_number().over(order)).where(F.col(r) == 1).drop(r)
 
 
 def _paths(classes: DataFrame, first: int, last: int) -> DataFrame:
@@ -571,8 +572,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, with the smallest id of each class; rows with a null id stay."""
     found, _ = near_duplicates(docs, text, doc_id, n, threshold)
-    drop = materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__drop")), "drop")
+    (name,) = scratch.fresh(docs, "drop")
+    drop = materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias(name)), "drop")
     many = drop.count()
-    left = one_per_id(docs, text, doc_id).join(F.broadcast(drop) if many <= MAX_BROADCAST_IDS else drop, F.col(doc_id) == F.col("__drop"), "left_anti")
+    left = one_per_id(docs, text, doc_id).join(F.broadcast(drop) if many <= MAX_BROADCAST_IDS else drop, F.col(doc_id) == F.col(name), "left_anti")
     nulls = docs.where(F.col(doc_id).isNull())
     return left.union(nulls) if nulls.limit(1).count() else left

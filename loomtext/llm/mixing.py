@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bytesvec as bv
-from .scratch import materialize
+from .scratch import fresh, materialize
 
 BLOCK, SHARD_SLOTS, MAX_REPEATS, ROUNDS = 128, 8192, 3, 6
 
@@ -207,12 +207,6 @@ def taken(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def _fresh(docs: DataFrame, *names: str) -> list[str]:
-    """Names that no column of ``docs`` has."""
-    taken = {c.lower() for c in docs.columns}
-    return [next(x for k in range(len(taken) + 1) if (x := f"__{n}{k or ''}") not in taken) for n in names]
-
-
 def _numbered(rows: DataFrame, keys: list[str], order: list, number: str, repeats: bool) -> DataFrame:
     """``rows`` with their number among those of equal keys; without repeats there is nothing to number."""
     if not repeats:
@@ -223,7 +217,7 @@ def _numbered(rows: DataFrame, keys: list[str], order: list, number: str, repeat
 def _keyed(docs: DataFrame, text: str, doc_id: str, source: str, placed: DataFrame) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
     """``docs`` and the placed rows with names that fit one to one: id, hash and number among equal ones."""
     repeats = placed.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count() > 0
-    h, n = _fresh(docs, "h", "n")
+    h, n = fresh(docs, "h", "n")
     left = _numbered(docs.withColumn(h, F.xxhash64(F.col(text).cast("string"))), [doc_id, h], [F.col(source).asc_nulls_last()], n, repeats)
     right = _numbered(placed, ["doc_id", "hash"], ["rank", "start"], "n", repeats)
     return left, right, [doc_id, h, n], ["doc_id", "hash", "n"]
@@ -239,7 +233,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     placed, goals, chosen = plan(docs, text, doc_id, source, seed, block)
     placed = placed.join(goals.select(F.col("source").alias("s"), "rank"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "hash", "rank", "start")
     left, right, mine, theirs = _keyed(docs, text, doc_id, source, placed)
-    p, k, size, parts = _fresh(docs, "p", "k", "size", "parts")
+    p, k, size, parts = fresh(docs, "p", "k", "size", "parts")
     part = pieces(placed.drop("rank"), goals, chosen, block).groupBy("rank", "start", "size", "hash").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", F.col("times").cast("int").alias("times")))).alias("parts"))
     part = right.select(*theirs, "rank", "start", "size").join(part, ["rank", "start", "size", "hash"]).select(F.col("doc_id").alias(p), F.col("hash").alias(k), F.col("n").alias(f"{k}n"), F.col("size").alias(size), F.col("parts").alias(parts))
     rows = left.join(part, F.col(mine[0]).eqNullSafe(F.col(p)) & (F.col(mine[1]) == F.col(k)) & (F.col(mine[2]) == F.col(f"{k}n")))

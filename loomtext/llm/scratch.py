@@ -64,6 +64,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := f"__{n}{k or ''}") not in taken) for n in names]
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, for files that Python workers write."""
     from pyarrow import fs
