@@ -7,8 +7,10 @@ never contribute text.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -36,10 +38,26 @@ class Node:
         return self.attrs.get("class", "").split()
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for x in self.items:
-            if isinstance(x, Node):
-                yield from x.walk()
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += [x for x in reversed(node.items) if isinstance(x, Node)]
+
+
+def deep(run):
+    """``run`` with room for recursion as deep as any page's elements are nested."""
+
+    @functools.wraps(run)
+    def wrapped(*args, **kwargs):
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, 5_000_000))
+        try:
+            return run(*args, **kwargs)
+        finally:
+            sys.setrecursionlimit(before)
+
+    return wrapped
 
 
 class _Lenient(HTMLParser):
@@ -79,15 +97,23 @@ class _Lenient(HTMLParser):
         self.at.items.append(data)
 
 
-def _from_xml(e: ElementTree.Element, parent: Node | None) -> Node:
-    node = Node(e.tag.rpartition("}")[2].lower() if isinstance(e.tag, str) else "#comment", {k.rpartition("}")[2]: v for k, v in e.attrib.items()}, parent)
-    if e.text and node.tag != "#comment":
-        node.items.append(e.text)
-    for child in e:
-        node.items.append(_from_xml(child, node))
-        if child.tail:
-            node.items.append(child.tail)
-    return node
+def _from_xml(top: ElementTree.Element, parent: Node | None) -> Node:
+    def made(e: ElementTree.Element, parent: Node | None) -> Node:
+        node = Node(e.tag.rpartition("}")[2].lower() if isinstance(e.tag, str) else "#comment", {k.rpartition("}")[2]: v for k, v in e.attrib.items()}, parent)
+        if e.text and node.tag != "#comment":
+            node.items.append(e.text)
+        return node
+
+    root = made(top, parent)
+    todo = [(top, root)]
+    while todo:
+        e, node = todo.pop()
+        for child in e:
+            node.items.append(made(child, node))
+            todo.append((child, node.items[-1]))
+            if child.tail:
+                node.items.append(child.tail)
+    return root
 
 
 def parse(page: str | None, strict: bool = False) -> Node | None:
@@ -119,48 +145,65 @@ class Options:
     drop_notes: bool = False
 
 
-def flatten(root: Node, options: Options = Options()) -> tuple[str, list[dict]]:  # noqa: B008
-    """Plain text below a node, and rows of its element nodes with offsets (end exclusive)."""
+def flatten(root: Node, options: Options = Options(), spans: dict[int, tuple[int, int]] | None = None) -> tuple[str, list[dict]]:  # noqa: B008
+    """Plain text below a node, and rows of its element nodes with offsets (end exclusive).
+
+    ``spans`` gets the offsets of every node, left out or replaced ones too, by ``id(node)``.
+    """
     out: list[str] = []
     rows: list[dict] = []
     size = 0
+    # nodes that are being worked through, with their remaining items; pages may nest deeper than calls can
+    stack: list[tuple[Iterator, dict, Node]] = []
 
     def put(text: str) -> None:
         nonlocal size
         out.append(text)
         size += len(text)
 
-    def visit(node: Node, parent_id: int, depth: int) -> None:
+    def replaced(node: Node) -> str | None:
+        """What stands for a node; None for one that is worked through."""
         if node.tag in _SILENT or node.tag == "#comment":
-            return
+            return ""
         classes = node.classes()
         if node.tag == "math" and options.math != "keep":
-            if options.math == "normalize":
-                put(" MathFormula ")
-            return
+            return " MathFormula " if options.math == "normalize" else ""
         if node.tag == "cite" and options.cite != "keep":
-            if options.cite == "normalize":
-                put(" CiteExpression ")
-            return
+            return " CiteExpression " if options.cite == "normalize" else ""
         if node.tag == "table" and options.tables != "keep":
             if options.tables == "normalize":
                 if {"ltx_equation", "ltx_equationgroup"} & set(classes):
-                    put(" MathFormula ")
-                elif options.table_tokens:
-                    put(" TableStructure ")
-            return
+                    return " MathFormula "
+                if options.table_tokens:
+                    return " TableStructure "
+            return ""
         if options.drop_notes and {"ltx_note_mark", "ltx_note_outer"} & set(classes):
+            return ""
+        return None
+
+    def enter(node: Node, parent_id: int, depth: int) -> None:
+        text = replaced(node)
+        if text is not None:
+            if spans is not None:
+                spans[id(node)] = (size, size + len(text))
+            put(text)
             return
-        row = {"node_id": len(rows), "parent_id": parent_id, "tag": node.tag, "class": node.attrs.get("class"), "depth": depth, "start": size, "end": size}
-        rows.append(row)
-        for x in node.items:
-            if isinstance(x, Node):
-                visit(x, row["node_id"], depth + 1)
-            else:
-                put(x)
-        row["end"] = size
+        rows.append({"node_id": len(rows), "parent_id": parent_id, "tag": node.tag, "class": node.attrs.get("class"), "depth": depth, "start": size, "end": size})
+        stack.append((iter(node.items), rows[-1], node))
 
-    visit(root, -1, 0)
+    enter(root, -1, 0)
+    while stack:
+        items, row, node = stack[-1]
+        for x in items:
+            if isinstance(x, Node):
+                enter(x, row["node_id"], row["depth"] + 1)
+                break
+            put(x)
+        else:
+            row["end"] = size
+            if spans is not None:
+                spans[id(node)] = (row["start"], size)
+            stack.pop()
     return "".join(out), rows
 
 
@@ -304,6 +347,7 @@ def escape(text: str) -> str:
     return entities.escape(text, quote=False)
 
 
+@deep
 def mark_sentences(page: str, options: Options = Options()) -> str:  # noqa: B008
     """The page with each sentence of its text in ``span.ltx_sentence``.
 
@@ -314,6 +358,12 @@ def mark_sentences(page: str, options: Options = Options()) -> str:  # noqa: B00
 
     root = parse(page)
     count = 0
+    spans: dict[int, tuple[int, int]] = {}
+    whole_text, _ = flatten(root, options, spans)
+
+    def piece_of(node: Node) -> str:
+        # what lies in a part left out has no place in the whole text
+        return whole_text[slice(*spans[id(node)])] if id(node) in spans else flatten(node, options)[0]
 
     def render(node: Node) -> str:
         nonlocal count
@@ -321,7 +371,7 @@ def mark_sentences(page: str, options: Options = Options()) -> str:  # noqa: B00
             return ""
         parts, text = [], ""
         for x in node.items:
-            piece = flatten(x, options)[0] if isinstance(x, Node) else x
+            piece = piece_of(x) if isinstance(x, Node) else x
             parts.append((len(text), len(text) + len(piece), x))
             text += piece
         opens, closes = {}, {}

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from .dom import Node, escape, parse
+from .dom import Node, deep, escape, parse
 from .sentences import ABBREVIATIONS, split
 
 UNSUPPORTED = frozenset(("acronym", "anchor", "rule", "note"))
@@ -22,14 +22,37 @@ _NESTED = re.compile(r"m\d+\.m\d+")
 
 
 def text_of(node: Node) -> str:
-    return "".join(text_of(x) if isinstance(x, Node) else x for x in node.items)
+    """All text below a node."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node):
+            todo += reversed(x.items)
+        else:
+            out.append(x)
+    return "".join(out)
 
 
 def serialize(node: Node) -> str:
     """A canonical string of a subtree."""
-    attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
-    inner = "".join(serialize(x) if isinstance(x, Node) else escape(x) for x in node.items)
-    return f"<{node.tag}{attrs}>{inner}</{node.tag}>" if inner else f"<{node.tag}{attrs}/>"
+    out: list[str] = []
+    # a node with the place of its opening tag waits below its items until they are written
+    todo: list[tuple[Node | str, int]] = [(node, -1)]
+    while todo:
+        x, opened = todo.pop()
+        if isinstance(x, str):
+            if x:
+                out.append(escape(x))
+        elif opened < 0:
+            todo.append((x, len(out)))
+            todo += [(y, -1) for y in reversed(x.items)]
+            out.append(f"<{x.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in x.attrs.items()))
+        else:
+            empty = len(out) == opened + 1
+            out[opened] += "/>" if empty else ">"
+            if not empty:
+                out.append(f"</{x.tag}>")
+    return "".join(out)
 
 
 def mark_of(element_id: str, doc: str) -> str:
@@ -58,6 +81,7 @@ class Normalized:
         """Trimmed texts of all elements with a tag."""
         return [_trim(text_of(x)) for x in self.root.walk() if x.tag == tag]
 
+    @deep
     def body(self) -> str:
         """Text of the paragraphs outside of metadata."""
         out: list[str] = []
@@ -81,6 +105,7 @@ def _trim(text: str) -> str:
     return re.sub(r"\s\s+", " ", text).strip()
 
 
+@deep
 def normalize(root: Node, mode: str = "position", doc: str = "doc0") -> Normalized:
     """Marks in place of equations, inline mathematics, citations and references; unsupported tags go.
 
@@ -96,7 +121,9 @@ def normalize(root: Node, mode: str = "position", doc: str = "doc0") -> Normaliz
         if mode == "syntax":
             family = "MathExpr" if kind.startswith("Math") else kind
             body = re.sub(r"\s+", " ", serialize(node).replace("\n", ""))
-            number = out._syntax.setdefault((family, body), 1 + sum(1 for f, _ in out._syntax if f == family))
+            number = out._syntax.get((family, body))
+            if number is None:
+                number = out._syntax[family, body] = numbers[family] = numbers.get(family, 0) + 1
             mark = f"{kind}-{number}"
         elif kind in numbers:
             mark = f"{kind}-{out.doc}-{kind[3]}{numbers[kind]}"
@@ -142,6 +169,7 @@ def normalize(root: Node, mode: str = "position", doc: str = "doc0") -> Normaliz
 OPERATORS = frozenset("sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh coth exp log ln lim liminf limsup sup inf max min arg det dim gcd hom ker deg mod sgn tr rank diag".split())
 
 
+@deep
 def purify(root: Node, text_math: bool = True, complex_tokens: bool = True, math_text: bool = True, merge: bool = True, words: frozenset[str] = frozenset()) -> Node:
     """Four rewrites: text to math, spelt-out tokens joined, words out of math, neighbours merged."""
     from .markup_rules import demote_text, join_tokens, merge_math, promote_text

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,18 +20,29 @@ def classify(root: Node, attributes: tuple[str, ...] | None = None, skip_tags: f
     """
     rows: list[dict] = []
 
-    def visit(node: Node) -> tuple[str, int]:
-        me: dict = {"node_id": len(rows), "tag": node.tag}
-        rows.append(me)
+    # nodes that are being worked through: their row, head, children left, and trees and heights of those done
+    stack: list[tuple[dict, str, Iterator[Node], list[str], list[int]]] = []
+
+    def enter(node: Node) -> None:
+        rows.append({"node_id": len(rows), "tag": node.tag})
         kept = sorted((k, v) for k, v in node.attrs.items() if (k != "id" if attributes is None else k in attributes))
         own = " ".join("".join(x for x in node.items if isinstance(x, str)).split()) if with_text else ""
         head = hashlib.md5(repr((node.tag, kept, own)).encode()).hexdigest()
-        below = [visit(x) for x in node.items if isinstance(x, Node) and x.tag not in skip_tags]
-        tree = hashlib.md5((head + "".join(t for t, _ in below)).encode()).hexdigest()
-        me.update(height=1 + max((h for _, h in below), default=-1), arity=len(below), head=head, tree=tree)
-        return tree, me["height"]
-
-    visit(root)
+        stack.append((rows[-1], head, iter([x for x in node.items if isinstance(x, Node) and x.tag not in skip_tags]), [], []))
+
+    enter(root)
+    while stack:
+        me, head, left, trees, heights = stack[-1]
+        child = next(left, None)
+        if child is not None:
+            enter(child)
+            continue
+        stack.pop()
+        tree = hashlib.md5((head + "".join(trees)).encode()).hexdigest()
+        me.update(height=1 + max(heights, default=-1), arity=len(trees), head=head, tree=tree)
+        if stack:
+            stack[-1][3].append(tree)
+            stack[-1][4].append(me["height"])
     return rows
 
 

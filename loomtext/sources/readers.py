@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import resources
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from .staging import stage
 
 
 def corpus(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
@@ -44,16 +46,21 @@ def nested_json(spark: SparkSession, path: str, value: str = "double") -> DataFr
 
 
 def ngram_list(spark: SparkSession, path: str) -> DataFrame:
-    """ngram, id: the line's number from 0 among lines that aren't blank; ids follow file order."""
-    rdd = spark.read.text(path).where(F.trim("value") != "").rdd.map(lambda r: r[0]).zipWithIndex()
-    return rdd.toDF("ngram string, id bigint")
+    """ngram, id: the line's number from 0 among lines that aren't blank; ids follow file order.
+
+    Lines are numbered within the blocks that tasks read; only the blocks' sizes are ordered as a whole.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("ngram"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).where(F.trim("ngram") != "")
+    lines = stage(lines, "lines")
+    sizes = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("f", "b", F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    number = F.row_number().over(Window.partitionBy("f", "b").orderBy("m")) - 1
+    return lines.withColumn("r", number).join(base, ["f", "b"]).select("ngram", (F.col("base") + F.col("r")).cast("bigint").alias("id")).sort("id")
 
 
 def language_model(spark: SparkSession, path: str, size: int = 400) -> DataFrame:
     """lang, gram, rank of files ``<lang>.lm`` with lines gram, tab, count."""
     df = spark.read.csv(path, sep="\t", schema="gram string, n bigint", quote="").select("*", F.regexp_extract(F.input_file_name(), r"([^/]+)\.lm$", 1).alias("lang"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "gram", "rank")
 

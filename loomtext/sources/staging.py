@@ -19,6 +19,8 @@ KEY = "spark.checkpoint.dir"
 def folder(spark: SparkSession) -> str:
     root = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{KEY} must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="loomtext-staging-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"

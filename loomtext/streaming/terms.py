@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.staging import folder
+
 
 def running_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """w, n so far; a stateful aggregation on the term."""
@@ -19,10 +23,19 @@ def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type"
 
 
 def run_available(df: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Process what is there into a memory table and stop."""
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+    """Process what is there and stop; the result is a table in the shared folder, seen as the view ``name``.
+
+    In complete mode each batch's result replaces the one before, else they are appended.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(path)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", checkpoint or f"{path}-checkpoint").start()
     query.awaitTermination()
+    spark.read.schema(df.schema).parquet(path).createOrReplaceTempView(name)
     return query

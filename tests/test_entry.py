@@ -45,6 +45,6 @@ def test_entry(spark):
 
 
 def test_import_without_optional_parts(monkeypatch):
-    monkeypatch.setattr(entry, "HAS_LLM", False)
-    monkeypatch.setattr(entry, "HAS_PIPELINE", False)
+    monkeypatch.setattr(entry, "llm_queries", None)
+    monkeypatch.setattr(entry, "corpus_pipeline", None)
     assert "tf_idf" in entry.queries() and not any(k.startswith("op") for k in entry.queries()) and "pipeline" not in entry.oracle_sql()

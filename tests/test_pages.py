@@ -38,3 +38,19 @@ def test_marks_of_whole_documents(spark, tmp_path):
     assert sorted(r.doc_id for r in found) == [1, 1, 2, 2, 3, 3, 4, 4]
     words = [(r.doc_id, r.text) for r in pages.mark_tokens(spark, str(tmp_path)).collect() if r.kind == "word"]
     assert words.count((3, "word")) == 20_000 and {(1, "d"), (2, "sign")} <= set(words)
+
+
+def test_deeply_nested_pages():
+    from loomtext.functions import dom, markup, trees
+
+    n = 10_000
+    for page in ("<div>" * n + "One is here. Two is there." + "</div>" * n, "<div>" * n + "One is here. Two is there."):
+        root = dom.parse(page)
+        text, rows = dom.flatten(root)
+        assert text == "One is here. Two is there." and len(rows) == n + 1 and rows[-1]["depth"] == n and rows[0]["end"] == len(text)
+        assert len(dom.select(root, "//div")) == n
+        classes = trees.classify(root)
+        assert len(classes) == n + 1 and classes[0]["height"] == n and len({c["tree"] for c in classes}) == n + 1
+        assert dom.mark_sentences(page).count("ltx_sentence") == 2
+        assert markup.normalize(dom.parse(page)).text() == "One is here. Two is there."
+        assert len(markup.serialize(root)) > 10 * n
