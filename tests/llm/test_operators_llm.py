@@ -490,6 +490,36 @@ def test_language(spark):
     assert langid.fit(d.where("false")) is None and {r.lang_pred for r in langid.predict(d, None).collect()} == {"und"}
 
 
+def brute_language(m, text):
+    """Class and score by definition: the softmax of the windows' mean logits."""
+    if not any(ch.isalpha() for ch in text or ""):
+        return "und", 0.0
+    raw, logits = text.encode(), []
+    for k in range(0, len(raw), langid.WINDOW):
+        x = raw[k : k + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+        h = []
+        for width in langid.WIDTHS:
+            planes = np.array([sum(m.w[width][o][x[p + o]] for o in range(width)) + m.b[width] for p in range(langid.WINDOW - width + 1)])
+            h.append(np.maximum(planes.max(0), 0))
+        logits.append(np.concatenate(h) @ m.v + m.c)
+    z = np.mean(logits, 0)
+    q = np.exp(z - z.max())
+    return m.classes[int(q.argmax())], float(q.max() / q.sum())
+
+
+def test_language_matches_definition(spark):
+    rng = random.Random(21)
+    lexicon = {"aa": "kapala mikono tatuka sirano".split(), "bb": "schwer strich pfand kratz\u00f6".split()}
+    rows = [(i, " ".join(rng.choice(lexicon[lang]) for _ in range(rng.choice([1, 5, 60, 300]))), lang) for i in range(80) for lang in [["aa", "bb"][i % 2]]]
+    rows += [(90, None, "aa"), (91, "", "bb"), (92, "4 5 !", "aa"), (93, "\u0436", None), (94, "pfand " * 9000, None), (None, "mikono", "aa"), (5, rows[5][1], "bb")]
+    d = docs(spark, rows)
+    model = langid.fit(d)
+    got = sorted((str(r.doc_id), r.lang_pred, round(r.score, 3)) for r in langid.predict(d, model).collect())
+    want = sorted((str(i), lang, round(score, 3)) for i, t, _ in rows for lang, score in [brute_language(model, t)])
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) <= 0.0021 for a, b in zip(got, want))
+
+
 def test_without_a_model_letters_keep(spark):
     d = docs(spark, [(1, "clean text", None), (2, "été", None), (3, "12 !", None), (4, "", None), (5, None, None), (6, "Ж", None)])
     assert langid.fit(d) is None
@@ -813,6 +843,16 @@ def test_urls_count_all_examples(spark):
     joined = {r.page_id: r for r in urlfilter.judge(d, max_grams=0).collect()}
     held = {r.url for r in d.where(F.pmod(F.xxhash64("url"), F.lit(5)) == 0).collect()}
     models = [urlfilter.Markov([u.encode() for i, u in enumerate(urls[:300]) if i % 2 == odd and u not in held]) for odd in (0, 1)]
+    # the cut: of all multiples of 1 / STEPS one that parts the held-out examples best
+    tried = {u: d for u, d in zip(urls, urlfilter.difference(models, [(u or "").encode() for u in urls]))}
+    good, bad = ([tried[u] for i, u in enumerate(urls[:300]) if i % 2 == odd and u in held] for odd in (0, 1))
+    gain = lambda t: np.mean(np.array(good) >= t) + np.mean(np.array(bad) < t)
+    steps = np.arange(np.floor(min(good + bad) * urlfilter.STEPS), np.ceil(max(good + bad) * urlfilter.STEPS) + 2) / urlfilter.STEPS
+    most = max(gain(t) for t in steps)
+    free = {i: d for i, (u, d) in enumerate(tried.items()) if i >= 300}
+    below, above = [d for i, d in free.items() if got[i].verdict == "block"], [d for i, d in free.items() if got[i].verdict == "allow"]
+    assert min(len(good), len(bad)) > 10
+    assert any(gain(t) == most for t in steps if all(d < t for d in below) and all(d >= t for d in above))
     want = urlfilter.difference(models, [(u or "").encode() for u in urls])
     for i in range(len(urls)):
         assert math.isclose(got[i].score, want[i], abs_tol=1e-12) and math.isclose(joined[i].score, want[i], abs_tol=1e-9)
