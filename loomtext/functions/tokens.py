@@ -111,16 +111,60 @@ def is_math(word: Column) -> Column:
     )
 
 
+#: Stand-ins while sentences are rewritten: a line break to be, and a dash, which counts as a letter.
+_BREAK, _DASH = "\ue000", "qzdashzq"
+_W = r"[\p{L}\p{N}_]"
+_MARK = r"MathExpr[\p{L}\p{N}_\-]*"
+#: Rewrites of a sentence in their order: pattern and replacement, with $ before group numbers.
+SENTENCE_REWRITES = (
+    (" +", " "),
+    ("^ +| +$", ""),
+    # a mark before a capital ends a line; marks and citations stand apart from words
+    (rf"\(?({_MARK})\)?\s+([A-Z])", f"$1{_BREAK}$2"),
+    (rf"({_W})(\(?MathExpr)", "$1 $2"),
+    (rf"(\({_MARK}\))({_W})", "$1 $2"),
+    (rf"({_W})ourcitation", "$1 ourcitation"),
+    (rf"ourcitation({_W})", "ourcitation $1"),
+    ("[—–-]", _DASH),
+    ("[“”]", '"'),
+    ("[`‘’]", "'"),
+    # genitives, then signs beside words
+    ("([a-zA-Z])('s)", "$1 $2"),
+    (rf" ({_W}+)([:;,\"'])", " $1 $2 "),
+    (rf"([:;,\"'])({_W}+)", " $1 $2 "),
+    ("(') (s)", "$1$2"),
+    (r"([()])(.)", "$1 $2"),
+    (r"(.)([()])", "$1 $2"),
+    (r"(,)([^0-9])", "$1 $2"),
+    (r"([^0-9])(,)", "$1 $2"),
+    (r" ((?:[0-9]\.)*)(,)", " $1 $2"),
+    (rf" ({_W}+[.!?]*)(\")", " $1 $2"),
+    (rf" ({_W}+)('')", " $1 $2"),
+    (rf"({_MARK})([,.?!])", "$1 $2"),
+    (r"\(\s*ourreference\s*\)", "ourreference"),
+    (_DASH, "-"),
+    (r"-\s+\.", "-."),
+    # final signs end a line unless a bracket closes after them
+    (r"( [.?!]) ( *)([^ )])", f" $1 {_BREAK}$2$3"),
+    (r"([.?!] +\)) ", f" $1 {_BREAK}"),
+    (r" ([.?!])( *\r*\n)", f"$1 {_BREAK}"),
+    (r"([.?!]) (\))", " $1 $2"),
+    ("[∎▮‣■□▪]", f"ourQED {_BREAK} "),
+    (r"[ \t\n\r\f]+", " "),
+    (rf" ([\p{{L}}\p{{N}}_,;'\"]*)([.?!]) {_BREAK}", f" $1 $2 {_BREAK}"),
+    (r" ([\p{L}\p{N}_,;'\"]*)([.?!])$", " $1 $2"),
+    (f"{_BREAK} *", "\n"),
+    (" +", " "),
+    ("^ +| +$", ""),
+    (r"\.\.\s+\.", "..."),
+)
+
+
 def normalize_sentence(text: Column) -> Column:
-    """Signs spaced out, dashes and quotes folded, end-of-proof glyphs named, math marks split off."""
-    t = F.regexp_replace(text, "[‐-―−]", "-")
-    t = F.regexp_replace(t, "[“”„«»]", ' " ')
-    t = F.regexp_replace(t, "[‘’‚]", "'")
-    t = F.regexp_replace(t, "[■□∎]", " ourQED ")
-    t = F.regexp_replace(t, r"(MathExpr(?:Equation)?-[0-9A-Za-z\-]+)", " $1 ")
-    t = F.regexp_replace(t, r"([,;:!?()\[\]{}])", " $1 ")
-    t = F.regexp_replace(t, r"\.( |$)", " .$1")
-    return trim_spaces(F.regexp_replace(t, " +", " "))
+    """Dashes and quotes folded, signs, marks, citations and genitives spaced out, end-of-proof glyphs named, lines broken after final signs."""
+    for pattern, to in SENTENCE_REWRITES:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def merge_equations(text: Column) -> Column:

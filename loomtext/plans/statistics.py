@@ -96,6 +96,25 @@ def nonstop_run_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def ngram_idf_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IDF of uni-, bi- and trigrams."""
+    s = _sentences(spark, sf_dir)
+    size = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
+    parts = [G.ngram_counts(G.ngrams(s, n, ["sent"])).withColumn("size", F.lit(n)) for n in (1, 2, 3)]
+    g = parts[0].unionByName(parts[1]).unionByName(parts[2]).crossJoin(F.broadcast(size))
+    return g.where(F.col("df") + 1 <= F.col("n_docs")).select("size", "ngram", "cnt", "df", F.round(G.idf_of(F.col("df"), F.col("n_docs")), 6).alias("idf"))
+
+
+def content_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uni-, bi- and trigrams of the runs between stopwords, counted over the corpus."""
+    return G.content_ngrams(_sentences(spark, sf_dir))
+
+
+def stemmed_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after stemming, which also decides what is a stopword."""
+    return G.content_ngrams(_sentences(spark, sf_dir), stemmed=True)
+
+
 def freq_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts through JSON text and back: both the writer and the reader of dictionaries."""
     from ..sources import writers
@@ -130,7 +149,7 @@ def non_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_classify(spark, sf_dir).where("lang_pred <> 'en'").select("doc_id", "lang_pred")
 
 
-QUERIES = {f.__name__: f for f in (term_counts, corpus_counts, doc_freq, corpus_size, max_tf, idf, tf_idf, tf_idf_topk, good_turing, ngram_idf, ngram_idf_parity, ngrams_frequent, union_ngrams, nonstop_run_ngrams, freq_json, lang_profiles, lang_classify, lang_candidates, non_english)} | {"unigrams": _grams(1), "bigrams": _grams(2), "trigrams": _grams(3)}
+QUERIES = {f.__name__: f for f in (term_counts, corpus_counts, doc_freq, corpus_size, max_tf, idf, tf_idf, tf_idf_topk, good_turing, ngram_idf, ngram_idf_parity, ngrams_frequent, union_ngrams, nonstop_run_ngrams, freq_json, lang_profiles, lang_classify, lang_candidates, non_english, ngram_idf_sizes, content_run_counts, stemmed_run_counts)} | {"unigrams": _grams(1), "bigrams": _grams(2), "trigrams": _grams(3)}
 
 _TFIDF = "ti AS (SELECT doc_id, w, n, round((0.5 + 0.5 * n / max(n) OVER (PARTITION BY doc_id)) * log2(n_docs / (1.0 + df)), 6) AS score FROM cnt JOIN dfq USING (w), sz)"
 
@@ -173,6 +192,9 @@ ORACLES = {
     "union_ngrams": with_(SENT, _gram_sql(1), _gram_sql(2), _gram_sql(3)) + " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS size, ngram, count(*) AS cnt FROM g{n} GROUP BY ngram" for n in (1, 2, 3)),
     "nonstop_run_ngrams": with_(SENT, f"f AS (SELECT *, w IN {STOP_SQL} AS stop FROM stok)", "r AS (SELECT *, sum(CAST(stop AS INTEGER)) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS run FROM f)", "b AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id, sent, run ORDER BY pos) AS w1 FROM r WHERE NOT stop)")
     + "SELECT doc_id, w || ' ' || w1 AS ngram, count(*) AS cnt FROM b WHERE w1 IS NOT NULL GROUP BY 1, 2",
+    "ngram_idf_sizes": " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS size, ngram, cnt, df, round(1 + log2(n_docs / (1.0 + df)), 6) AS idf FROM ({_gram_counts(n)}), (SELECT count(*) AS n_docs FROM documents) WHERE df + 1 <= n_docs" for n in (1, 2, 3)),
+    "content_run_counts": with_(SENT, f"f AS (SELECT *, w IN {STOP_SQL} AS stop FROM stok)", "r AS (SELECT *, sum(CAST(stop AS INTEGER)) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS run FROM f)", "b AS (SELECT doc_id, w, lead(w) OVER x AS w1, lead(w, 2) OVER x AS w2 FROM r WHERE NOT stop WINDOW x AS (PARTITION BY doc_id, sent, run ORDER BY pos))", "g AS (SELECT 1 AS size, w AS ngram FROM b UNION ALL SELECT 2, w || ' ' || w1 FROM b WHERE w1 IS NOT NULL UNION ALL SELECT 3, w || ' ' || w1 || ' ' || w2 FROM b WHERE w2 IS NOT NULL)")
+    + "SELECT CAST(size AS INTEGER) AS size, ngram, count(*) AS cnt FROM g GROUP BY 1, 2",
     "freq_json": with_(TOK, CNT) + "SELECT * FROM cnt",
     "lang_profiles": with_(_PROF) + "SELECT lang, gram, rank FROM prof",
     "lang_classify": with_(_PROF, _DOCG, _DIST, _BEST) + "SELECT * FROM best",

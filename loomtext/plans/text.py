@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fold, sentences, stem, stopwords, tokens
@@ -149,7 +151,17 @@ _ALNUM_SQL = "aw AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_
 _NUMERAL = "[+0-9=ivx]['()+,\\-./0-9=ivx]+".replace("'", "''")
 _CONS = "bcdfghjklmnpqrstvwxz"
 
+def _rewrites_sql() -> str:
+    """The text after all rewrites of sentences, in the other dialect's replacements."""
+    out = "text"
+    for pattern, to in tokens.SENTENCE_REWRITES:
+        quoted = ("'" + x.replace("'", "''") + "'" for x in (pattern, re.sub(r"\$([0-9])", r"\\\1", to)))
+        out = f"regexp_replace({out}, {', '.join(quoted)}, 'g')"
+    return out
+
+
 ORACLES = {
+    "normalized_sentences": f"SELECT doc_id, md5({_rewrites_sql()}) AS digest FROM documents",
     "fold_ascii": f"SELECT doc_id, md5(translate(text, '{fold.FROM}', '{fold.TO}')) AS digest FROM documents",
     "transliterate": f"SELECT doc_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT doc_id, {_ascii_sql()} AS t FROM documents)",
     "token_stream": "SELECT doc_id, len(a) AS n_tokens, md5(array_to_string(a, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS a FROM documents)",

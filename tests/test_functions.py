@@ -170,3 +170,32 @@ def test_trees(spark):
     assert b[0] == b[1] != b[2] and a[1]["height"] == 1
     row = spark.range(1).select(trees.differing_children(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("x"), F.lit("z"))).alias("d"), trees.differing_children(F.array(F.lit("x")), F.array(F.lit("x"), F.lit("z"))).alias("n")).collect()[0]
     assert row.d == [2] and row.n is None
+
+
+def test_sentence_rewrites(spark):
+    from loomtext.functions import tokens
+    from pyspark.sql import functions as F
+
+    cases = {
+        "It is so. So be it! \u25a0 End": "It is so. So be it! ourQED \nEnd",
+        "the dog's bone": "the dog 's bone",
+        "a (b) c": "a ( b ) c",
+        "well\u2014known": "well-known",
+        "by ourcitationand xMathExpr-1, then": "by ourcitation and x MathExpr-1 , then",
+        "as MathExpr-2 We go": "as MathExpr-2\nWe go",
+        "": "",
+    }
+    rows = spark.createDataFrame(list(cases.items()) + [(None, None)], "t string, want string")
+    got = rows.withColumn("got", tokens.normalize_sentence(F.col("t"))).collect()
+    assert all(r.got == r.want for r in got), [(r.got, r.want) for r in got]
+
+
+def test_ngrams_of_content_runs(spark):
+    from loomtext.operators.ngrams import content_ngrams
+
+    words = "the numbers of great prime numbers and primes".split()
+    rows = spark.createDataFrame([(1, 1, i, w) for i, w in enumerate(words)] + [(1, 2, 0, "prime")], "doc_id int, sent int, pos int, w string")
+    got = {(r.size, r.ngram): r.cnt for r in content_ngrams(rows).collect()}
+    assert got == {(1, "numbers"): 2, (1, "great"): 1, (1, "prime"): 2, (1, "primes"): 1, (2, "great prime"): 1, (2, "prime numbers"): 1, (3, "great prime numbers"): 1}
+    got = {(r.size, r.ngram): r.cnt for r in content_ngrams(rows, stemmed=True).collect()}
+    assert got[1, "prime"] == 3 and got[1, "number"] == 2 and got[3, "great prime number"] == 1
