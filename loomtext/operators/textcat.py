@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from heapq import nsmallest
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-PROFILE, LONGEST = 400, 5
+PROFILE, LONGEST, TOGETHER = 400, 5, 128
 
 
 def grams(docs: DataFrame, keys: list[str], text: str = "text", longest: int = LONGEST) -> DataFrame:
@@ -55,33 +54,76 @@ def distances(docs: DataFrame, models: DataFrame, doc_id: str = "doc_id", text:
     if len(rows) > max_models * PROFILE:
         return _joined(docs, models, doc_id, text)
     langs = sorted({r["lang"] for r in rows})
-    ranks: dict[str, list[tuple[int, int]]] = {}
+    model: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
-        ranks.setdefault(r["gram"], []).append((langs.index(r["lang"]), r["rank"]))
+        model.setdefault(r["gram"], []).append((langs.index(r["lang"]), r["rank"]))
     words = F.array_join(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), 0), " ")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = lru_cache(1 << 16)(_grams_of)
         for batch in batches:
-            out: list[tuple] = []
-            for d, line in zip(batch["d"], batch["w"]):
-                n: dict[str, int] = {}
-                for word, c in Counter(line.split(" ") if line else ()).items():
-                    for g in cut(word):
-                        n[g] = n.get(g, 0) + c
-                top = nsmallest(PROFILE, ((-c, g) for g, c in n.items()))
-                apart, hits = [0] * len(langs), [0] * len(langs)
-                for r, (_, g) in enumerate(top, 1):
-                    for k, r2 in ranks.get(g, ()):
-                        apart[k] += abs(r - r2)
-                        hits[k] += 1
-                out += [(d, lang, apart[k] + PROFILE * (len(top) - hits[k])) for k, lang in enumerate(langs) if hits[k]]
-            yield pd.DataFrame(out, columns=[doc_id, "lang", "distance"])
+            for k in range(0, len(batch), TOGETHER):
+                part = batch.iloc[k : k + TOGETHER]
+                doc, lang, apart = _ranked_together(part["w"].tolist(), model, len(langs))
+                yield pd.DataFrame({doc_id: part["d"].to_numpy()[doc], "lang": np.array(langs, object)[lang], "distance": apart})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("d"), words.alias("w")).mapInPandas(run, f"{doc_id} {kind}, lang string, distance long")
 
 
+def _ranked_together(lines: list[str | None], model: dict[str, list[tuple[int, int]]], n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, language, distance) of texts as words between blanks; each distinct word is cut up once."""
+    number: dict[str, int] = {}
+    of_words: dict[str, int] = {}
+    sizes: list[int] = []
+    pieces: list[int] = []
+    word: list[int] = []
+    times: list[int] = []
+    owner: list[int] = []
+    for d, line in enumerate(lines):
+        for w, c in Counter(line.split(" ") if line else ()).items():
+            at = of_words.get(w)
+            if at is None:
+                at = of_words[w] = len(sizes)
+                found = [number.setdefault(g, len(number)) for g in _grams_of(w)]
+                sizes.append(len(found))
+                pieces += found
+            word.append(at)
+            times.append(c)
+            owner.append(d)
+    if not word:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    grams = list(number)
+    size, first = np.array(sizes), np.cumsum(sizes) - np.array(sizes)
+    w, n = np.array(word), size[np.array(word)]
+    at = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    key = np.repeat(np.array(owner) * len(grams), n) + np.array(pieces)[at]
+    key, back = np.unique(key, return_inverse=True)
+    count = np.bincount(back, np.repeat(np.array(times), n)).astype(np.int64)
+    doc, gram = key // len(grams), key % len(grams)
+    place = np.empty(len(grams), np.int64)
+    place[sorted(range(len(grams)), key=grams.__getitem__)] = np.arange(len(grams))
+    order = np.lexsort((place[gram], -count, doc))
+    doc, gram = doc[order], gram[order]
+    start = np.searchsorted(doc, np.arange(len(lines)))
+    rank = np.arange(len(doc)) - start[doc] + 1
+    top = rank <= PROFILE
+    doc, gram, rank = doc[top], gram[top], rank[top]
+    known = np.zeros((n_langs, len(grams)), np.int64)
+    for g, rows in model.items():
+        k = number.get(g)
+        if k is not None:
+            for lang, r in rows:
+                known[lang, k] = r
+    total, apart, hits = np.bincount(doc, minlength=len(lines)), np.zeros((len(lines), n_langs), np.int64), np.zeros((len(lines), n_langs), np.int64)
+    for lang in range(n_langs):
+        r = known[lang][gram]
+        hits[:, lang] = np.bincount(doc[r > 0], minlength=len(lines))
+        apart[:, lang] = np.bincount(doc[r > 0], np.abs(rank - r)[r > 0], len(lines))
+    i, lang = np.nonzero(hits)
+    return i, lang, (apart + PROFILE * (total[:, None] - hits))[i, lang]
+
+
 def _grams_of(word: str) -> list[str]:
     p = f"_{word}_"
     return [p[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(p) - n + 1) if n > 1 or p[i] != "_"]
