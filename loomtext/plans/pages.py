@@ -58,14 +58,8 @@ def _in_lines(d: DataFrame, marks: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "para_id").agg(F.count(F.lit(1)).alias("n"), F.min("offset").cast("long").alias("first_offset"))
 
 
-def range_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th character in the line that holds it, as in the query's SQL; ``range_tokens`` has all tokens."""
-    d = documents(spark, sf_dir)
-    return _in_lines(d, d.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(50))).alias("offset")).where("offset >= 0"))
-
-
 def range_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens in the line that holds them."""
+    """Tokens in the line that holds them: the join of offsets with ranges."""
     # shuffled once, as texts: lines and tokens are cut where they are joined
     d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return _in_lines(d, d.select("doc_id", F.explode(tokens.starts(F.col("text"))).alias("offset")))
@@ -171,7 +165,10 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (html_text, html_paragraphs, page_anchors, markers, page_tags, range_nodes, range_tokens, dom_text, dom_nodes, dom_paragraphs, node_lookup, node_enclosing, page_words, english_folded, page_sentences, marked_sentences, normalized_marks, mark_tokens, tree_classes, tree_classes_light, stream_terms, event_windows)}
+QUERIES = {f.__name__: f for f in (html_text, html_paragraphs, page_anchors, markers, page_tags, range_tokens, dom_text, dom_nodes, dom_paragraphs, node_lookup, node_enclosing, page_words, english_folded, page_sentences, marked_sentences, normalized_marks, mark_tokens, tree_classes, tree_classes_light, stream_terms, event_windows)}
+
+#: ``tokens.WORD`` for a dialect without look-ahead: a dash between letters is a match of its own, left out afterwards.
+_WORD_SQL = r"''s|n''t|[A-Za-z]+|[0-9]+(?:[.,][0-9]+)*|[^\s\x0bA-Za-z0-9]"
 
 ORACLES = {
     "english_folded": with_(_PROF, _DOCG, _DIST, _BEST) + f"SELECT doc_id, md5({_ascii_sql()}) AS digest FROM documents JOIN best USING (doc_id) WHERE lang_pred = 'en'",
@@ -180,9 +177,12 @@ ORACLES = {
     "page_anchors": "SELECT page_id, anchor, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)) AS anchor FROM pages) GROUP BY 1, 2",
     "markers": r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<a [^>]*>(.*?)</a>', '<math><mi>x</mi></math><cite>\1</cite>', 'g'), '(?is)<math.*?</math>', ' MathFormula ', 'g'), '(?is)<cite.*?</cite>', ' CiteExpression ', 'g')) AS digest FROM pages",
     "page_tags": "SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1, 2",
-    "range_nodes": """WITH l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) AS INTEGER) AS para_id, length(unnest(p)) AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+    # a token or else one sign at a time, so that the lengths before a token are its offset
+    "range_tokens": f"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) AS INTEGER) AS para_id, length(unnest(p)) AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 s AS (SELECT doc_id, para_id, coalesce(sum(size + 1) OVER (PARTITION BY doc_id ORDER BY para_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, size FROM l),
-m AS (SELECT doc_id, unnest(generate_series(0, length(text) - 1, 50)) AS o FROM documents)
+u AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS t FROM (SELECT doc_id, regexp_extract_all(text, '(?:{_WORD_SQL})|(?s:.)') AS a FROM documents)),
+o AS (SELECT doc_id, t, coalesce(sum(length(t)) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, coalesce(lag(t) OVER x, '') AS before, coalesce(lead(t) OVER x, '') AS after FROM u WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, o FROM o WHERE regexp_full_match(t, '{_WORD_SQL}') AND NOT (t = '-' AND regexp_full_match(before, '[A-Za-z]+') AND regexp_matches(after, '^[A-Za-z]')))
 SELECT m.doc_id, para_id, count(*) AS n, CAST(min(o) AS BIGINT) AS first_offset FROM m JOIN s ON m.doc_id = s.doc_id AND start <= o AND o < start + size GROUP BY 1, 2""",
     "stream_terms": "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) GROUP BY w",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
