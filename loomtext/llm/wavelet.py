@@ -64,6 +64,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.one = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.table = _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -83,16 +84,18 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
-        return self._ids([t.id for t in self.model.tokenize(letters)])
+        return b"".join([self.one[t.id] for t in self.model.tokenize(letters)])
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
         if chunk.isascii():
+            # one cache serves words and chunks that are words
             if chunk.isalpha():
-                return self.pieces[chunk.lower()]
+                low = chunk.lower()
+                return self._piece(chunk) if low == chunk else self.chunks[low]
             if chunk[-1] in ",." and chunk[:-1].isalpha():
-                return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
+                return self.chunks[chunk[:-1].lower()] + self.pieces[chunk[-1]]
         if _SAFE.fullmatch(chunk) and "<|" not in chunk:
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk.lower())))
         return self._ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
