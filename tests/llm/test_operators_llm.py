@@ -526,6 +526,40 @@ def test_without_a_model_letters_keep(spark):
     assert sorted(r.doc_id for r in langid.keep_identified(d, None).collect()) == [1, 2, 6]
 
 
+def test_language_stage_rejects_by_calibrated_score(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    lexicon = {"aa": "kapala mikono tatuka sirano".split(), "bb": "schwer strich pfand kratz".split()}
+    mixed = lambda: " ".join(rng.sample([rng.choice(lexicon[x]) for x in "aa bb".split() * 6], 12))
+    rows = [(i, " ".join(rng.choice(lexicon[lang]) for _ in range(rng.choice([8, 30, 200]))), lang) for i in range(400) for lang in [["aa", "bb"][i % 2]]]
+    # a language that no row to learn from has, and its like without a label
+    rows += [(i, mixed(), "cc") for i in range(400, 600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows += [(i, mixed(), None) for i in range(900, 960)] + [(None, rows[0][1], "aa"), (None, None, None), (960, "12 !", "aa"), (1, rows[1][1], "bb"), (2, "kapala " * 50_000, "aa")]
+    d = docs(spark, rows)
+    model = langid.fit(d)
+    found = {(r.doc_id, t): (r.lang_pred, r.score, r.held_out) for (i, t, _), r in zip(rows, langid.predict(d.coalesce(1), model).collect())}
+    judged = [(s, p == lang) for i, t, lang in rows for p, s, h in [found[i, t]] if h and lang and p != "und"]
+    assert len(judged) > 200
+    least = min((sum((s < e) == ok for s, ok in judged), e) for e in (k / 1000 for k in range(1001)))[1]
+    assert least > 0.5
+    want = Counter((i, t) for i, t, _ in rows for p, s, _ in [found[i, t]] if p != "und" and s >= least)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.language(spark, d, "").collect())
+    assert got == want
+    assert langid.calibrate(d, model) == least
+    assert sum(i is not None and 900 <= i < 960 for i, _ in got) < 20 and sum(i is None or i < 400 for i, _ in got.elements()) > 0.98 * 403
+
+
+def test_calibration_without_grounds(spark):
+    rows = [(i, ["kapala mikono", "schwer strich"][i % 2], ["aa", "bb"][i % 2]) for i in range(300)]
+    d = docs(spark, rows)
+    model = langid.fit(d)
+    assert langid.calibrate(d, None) == 0 and langid.calibrate(d.where("false"), model) == 0
+    swapped = d.withColumn("lang", F.when(F.col("lang") == "aa", "bb").otherwise("aa"))
+    assert langid.calibrate(d, model) == 0 and langid.calibrate(swapped, model) == 0
+    assert langid.calibrate(swapped.limit(60).union(d.limit(60)), model) == 0
+    assert langid.keep_identified(d, model, min_score=0.0).count() == 300 and langid.keep_identified(d, model, min_score=1.1).count() == 0
+
+
 def test_network_tables_match_convolution():
     rng = np.random.default_rng(0)
     m = langid.ByteCNN(["a", "b", "c"])
