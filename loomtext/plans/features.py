@@ -4,59 +4,84 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import stopwords
-from ..operators import counts as C, features as X, ml, ngrams as G
+from ..functions import stopwords, tokens
+from ..operators import counts as C, features as X, inplace as P, ml, ngrams as G
 from ..sources.staging import stage
 from .common import LABELS, PARA, documents, labels, para_terms, table, with_
 
 CUTOFF, TRAIN_FOLDS = 7.0, 5
 
 
-def _stats(spark: SparkSession, sf_dir: str, content: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(tokens, counts of paragraphs, idf, bins); what comes after the tokens is staged."""
-    t = para_terms(spark, sf_dir)
-    if content:
-        t = t.where(~stopwords.is_stopword(F.col("w")))
-    per = stage(X.paragraph_counts(t), "paragraph-counts")
-    n = X.document_counts(per)
-    i = stage(C.idf(C.document_frequencies(n), C.corpus_size(n)), "idf")
-    return t, per, i, X.bins(i, CUTOFF)
+#: Words that go to all tasks at most. Those below the cutoff are in more than one document of 64,
+#: so they are fewer than 64 times the words of a mean document.
+MODEL = 200_000
+
+
+class _Words:
+    """Gathered texts, the staged document frequencies, idf and bins of their words, and the words below the cutoff."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, content: bool = False):
+        self.without = stopwords.EXTENDED if content else ()
+        self.docs = P.gathered(documents(spark, sf_dir))
+        found = stage(P.frequencies(self.docs, self.without), "frequencies")
+        self.idf = C.idf(found.where("w <> ''"), found.where("w = ''").select(F.col("df").alias("n_docs")))
+        self.bins = X.bins(self.idf, CUTOFF)
+
+    def model(self) -> P.Model | None:
+        """Bin and idf by word; None if there are too many, and the relations have to be joined."""
+        rows = self.bins.limit(MODEL + 1).collect()
+        return {r["w"]: (r["bin"], r["idf"]) for r in rows} if len(rows) <= MODEL else None
+
+    def tokens(self) -> DataFrame:
+        t = tokens.paragraph_terms(self.docs)
+        return t.where(~F.col("w").isin(list(self.without))) if self.without else t
+
+    def counts(self) -> DataFrame:
+        return stage(X.paragraph_counts(self.tokens()), "paragraph-counts")
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir)[3].select("w", "bin")
+    return _Words(spark, sf_dir).bins.select("w", "bin")
+
+
+def _tfidf(w: _Words) -> DataFrame:
+    model = w.model()
+    f = X.tfidf_vectors(w.counts(), w.bins) if model is None else P.tfidf_vectors(w.docs, model, without=w.without)
+    return f.withColumn("val", F.round("val", 6))
 
 
 def tfidf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, per, _, b = _stats(spark, sf_dir)
-    return X.tfidf_vectors(per, b).withColumn("val", F.round("val", 6))
+    return _tfidf(_Words(spark, sf_dir))
 
 
 def tfc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, per, _, b = _stats(spark, sf_dir)
-    return X.tfc_vectors(per, b).withColumn("val", F.round("val", 6))
+    w = _Words(spark, sf_dir)
+    model = w.model()
+    f = X.tfc_vectors(w.counts(), w.bins) if model is None else P.tfc_vectors(w.docs, model)
+    return f.withColumn("val", F.round("val", 6))
 
 
 def content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length-normalised vectors over content words only."""
-    _, per, _, b = _stats(spark, sf_dir, content=True)
-    return X.tfidf_vectors(per, b).withColumn("val", F.round("val", 6))
+    return _tfidf(_Words(spark, sf_dir, content=True))
 
 
 def doc_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, per, i, _ = _stats(spark, sf_dir)
-    return X.doc_norms(X.document_counts(per), i.where(F.col("idf") < CUTOFF)).select("doc_id", F.round("norm", 5).alias("norm"))
+    w = _Words(spark, sf_dir)
+    model = w.model()
+    n = X.doc_norms(X.document_counts(w.counts()), w.bins) if model is None else P.doc_norms(w.docs, model)
+    return n.select("doc_id", F.round("norm", 5).alias("norm"))
 
 
 def occurrence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, per, i, b = _stats(spark, sf_dir)
-    return X.occurrence_vectors(t, per, b, i).withColumn("val", F.round("val", 6))
+    w = _Words(spark, sf_dir)
+    model = w.model()
+    f = X.occurrence_vectors(w.tokens(), w.counts(), w.bins, w.idf) if model is None else P.occurrence_vectors(w.docs, model, w.idf)
+    return f.withColumn("val", F.round("val", 6))
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-grams of the benchmark items that occur in at least two of them."""
-    from ..functions import tokens
-
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     t = tokens.paragraph_terms(bench)
     parts = [G.ngram_counts(G.ngrams(t, n, ["para_id"])).where("df >= 2").select("ngram", F.lit(n).alias("size")) for n in (1, 2, 3)]
@@ -111,10 +136,15 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def libsvm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, per, _, b = _stats(spark, sf_dir)
-    f = X.lengths(per).select("doc_id", "para_id", F.lit(1).cast("long").alias("idx"), F.col("wc").cast("double").alias("val"))
-    g = per.join(b, "w").select("doc_id", "para_id", (F.col("bin") + 1).alias("idx"), F.col("k").cast("double").alias("val"))
-    lines = X.libsvm_lines(f.unionByName(g), labels(spark, sf_dir), ["doc_id", "para_id"])
+    w = _Words(spark, sf_dir)
+    model = w.model()
+    if model is None:
+        per = w.counts()
+        f = X.lengths(per).select("doc_id", "para_id", F.lit(1).cast("long").alias("idx"), F.col("wc").cast("double").alias("val"))
+        g = per.join(w.bins, "w").select("doc_id", "para_id", (F.col("bin") + 1).alias("idx"), F.col("k").cast("double").alias("val"))
+        lines = X.libsvm_lines(f.unionByName(g), labels(spark, sf_dir), ["doc_id", "para_id"])
+    else:
+        lines = P.libsvm_lines(w.docs.join(X.distinct_labels(labels(spark, sf_dir)), "doc_id"), model)
     return lines.select("doc_id", "para_id", F.md5("line").alias("digest"))
 
 
