@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -153,8 +151,8 @@ def tree_classes_light(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term counts of the conversations, read as a stream."""
     src = table(spark, sf_dir, "conversations")
-    folder = os.path.dirname(f"{sf_dir}/conversations.parquet")
-    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "conversations.parquet").option("recursiveFileLookup", "true").parquet(folder)
+    # as a pattern, since a stream takes a single file by no other name; it names a folder of files as well
+    stream = spark.readStream.schema(src.schema).parquet(f"{sf_dir}/conversations[.]parquet")
     terms.run_available(terms.running_counts(stream), "loomtext_terms", "complete")
     return spark.table("loomtext_terms")
 

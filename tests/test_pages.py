@@ -54,3 +54,17 @@ def test_deeply_nested_pages():
         assert dom.mark_sentences(page).count("ltx_sentence") == 2
         assert markup.normalize(dom.parse(page)).text() == "One is here. Two is there."
         assert len(markup.serialize(root)) > 10 * n
+
+
+def test_stream_of_a_folder_of_files(spark, tmp_path):
+    rows = [(1, 0, "user", "a b a"), (1, 1, "bot", "B c"), (2, 0, "user", None)]
+    for folder, files in (("one", 1), ("many", 3)):
+        d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(files)
+        d.write.parquet(f"{tmp_path}/{folder}/conversations.parquet")
+        d.write.parquet(f"{tmp_path}/{folder}/conversations.parquet.old")
+        assert {r.w: r.n for r in pages.stream_terms(spark, f"{tmp_path}/{folder}").collect()} == {"a": 2, "b": 2, "c": 1}
+    import shutil
+
+    (tmp_path / "file").mkdir()
+    shutil.copy(next((tmp_path / "one/conversations.parquet").glob("*.parquet")), tmp_path / "file/conversations.parquet")
+    assert {r.w: r.n for r in pages.stream_terms(spark, f"{tmp_path}/file").collect()} == {"a": 2, "b": 2, "c": 1}
