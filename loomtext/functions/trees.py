@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import batches
 from .dom import Node, parse
 
 
@@ -49,11 +49,11 @@ def classify(root: Node, attributes: tuple[str, ...] | None = None, skip_tags: f
 def tree_classes(pages: DataFrame, page: str = "html", page_id: str = "page_id", with_text: bool = True) -> DataFrame:
     """page_id, node_id, tag, height, arity, head, tree of all element nodes."""
 
-    @F.pandas_udf("array<struct<node_id:int,tag:string,height:int,arity:int,head:string,tree:string>>")
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(lambda p: [] if p is None else classify(parse(p), with_text=with_text))
+    def of(key, p: str | None) -> Iterator[tuple]:
+        return ((key, *n.values()) for n in ([] if p is None else classify(parse(p), with_text=with_text)))
 
-    return pages.select(F.col(page_id).alias("page_id"), F.explode(run(F.col(page))).alias("n")).select("page_id", "n.*")
+    kind = pages.schema[page_id].dataType.simpleString()
+    return batches.rows(pages.select(page_id, page), of, f"page_id {kind}, node_id int, tag string, height int, arity int, head string, tree string")
 
 
 def class_sizes(classes: DataFrame) -> DataFrame:

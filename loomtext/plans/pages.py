@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dom, markup, sentences, tokens, trees
@@ -128,16 +127,7 @@ def normalized_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            # the tokens of a few documents at a time
-            for k in range(0, len(batch), 64):
-                part = batch[k : k + 64]
-                rows = [(i, *t.values()) for i, body in zip(part["doc_id"], part["body"]) for t in markup.mark_tokens(body or "")]
-                yield pd.DataFrame(rows, columns=["doc_id", "sentence", "token", "kind", "text"])
-
-    body = _xml(spark, sf_dir).select("doc_id", markup.normalized_body(F.col("doc")).alias("body"))
-    return body.mapInPandas(run, f"doc_id {dict(body.dtypes)['doc_id']}, sentence int, token int, kind string, text string")
+    return markup.tokens_of(_xml(spark, sf_dir))
 
 
 def tree_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

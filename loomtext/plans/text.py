@@ -103,9 +103,7 @@ def equation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).withColumn("r", sentences.sentence_ranges(F.col("text")))
-    s = d.select("doc_id", "text", F.posexplode("r").alias("sent_id", "r"))
-    return s.select("doc_id", "sent_id", "r.start", "r.end", F.md5(sentences.range_text(F.col("text"), F.col("r.start"), F.col("r.end"))).alias("digest"))
+    return sentences.digests(documents(spark, sf_dir))
 
 
 def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,20 @@ def test_stream_of_a_folder_of_files(spark, tmp_path):
     (tmp_path / "file").mkdir()
     shutil.copy(next((tmp_path / "one/conversations.parquet").glob("*.parquet")), tmp_path / "file/conversations.parquet")
     assert {r.w: r.n for r in pages.stream_terms(spark, f"{tmp_path}/file").collect()} == {"a": 2, "b": 2, "c": 1}
+
+
+def test_few_rows_at_a_time(spark, tmp_path):
+    """No whole batch of results as Python objects: rows go through in slices, and marks in one pass."""
+    texts = [(i, f"Sentence {i} is here. " * (i % 7) + "\n\nThe end? No.") for i in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"<p>{t}</p>") for i, t in texts], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    from loomtext.functions import sentences
+    from loomtext.plans import text
+
+    for query, name in ((text.sentence_split, "MapInArrow"), (pages.dom_paragraphs, "MapInArrow"), (pages.mark_tokens, "MapInArrow"), (pages.page_words, "MapInArrow"), (pages.marked_sentences, "ArrowEvalPython")):
+        found = query(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # 200 is the kind of function that gets a batch and gives a batch
+        assert name in plan and "MapInPandas" not in plan and not re.search(r"ArrowEvalPython.*, 200\b", plan)
+    got = {(r.doc_id, r.sent_id): (r.start, r.end) for r in text.sentence_split(spark, str(tmp_path)).collect()}
+    assert got == {(i, k): x for i, t in texts for k, x in enumerate(sentences.split(t))}
