@@ -105,18 +105,19 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.term_dictionary(para_terms(spark, sf_dir))
+    return P.term_dictionary(P.gathered(documents(spark, sf_dir))).select("w", "term_id")
 
 
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = para_terms(spark, sf_dir)
-    return X.encode(t, stage(X.term_dictionary(t), "dictionary")).select("doc_id", "para_id", F.md5("ids").alias("digest"))
+    docs = P.gathered(documents(spark, sf_dir))
+    return P.encode(docs, stage(P.term_dictionary(docs), "dictionary")).select("doc_id", "para_id", F.md5("ids").alias("digest"))
 
 
 def decode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = para_terms(spark, sf_dir)
-    d = stage(X.term_dictionary(t), "dictionary")
-    return X.decode_counts(X.encode(t, d), d, labels(spark, sf_dir))
+    docs = P.gathered(documents(spark, sf_dir))
+    d = stage(P.term_dictionary(docs), "dictionary")
+    lab = labels(spark, sf_dir)
+    return X.decode_counts(P.encode(docs.join(lab, "doc_id", "left_semi"), d), d, lab)
 
 
 def lm_unk(spark: SparkSession, sf_dir: str) -> DataFrame:
