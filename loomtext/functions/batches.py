@@ -25,6 +25,12 @@ def _slices(batch: pa.RecordBatch | pa.Array) -> Iterator:
 def each(column: Column, rule: Callable, kind: str) -> Column:
     """``rule`` of each value; nulls go to it as None."""
     out = to_arrow_type(DataType.fromDDL(kind))
+    return arrays(column, lambda part: pa.array([rule(x) for x in part.to_pylist()], out), kind)
+
+
+def arrays(column: Column, of: Callable[[pa.Array], pa.Array], kind: str) -> Column:
+    """What ``of`` gives for the values of each slice."""
+    out = to_arrow_type(DataType.fromDDL(kind))
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -32,7 +38,7 @@ def each(column: Column, rule: Callable, kind: str) -> Column:
             if not len(batch):
                 yield pa.array([], out)
             for part in _slices(batch):
-                yield pa.array([rule(x) for x in part.to_pylist()], out)
+                yield of(part)
 
     return run(column)
 

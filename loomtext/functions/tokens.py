@@ -1,4 +1,4 @@
-"""Tokens and token predicates, as column expressions that stay in the JVM; only offsets of tokens don't."""
+"""Tokens and token predicates, as column expressions that stay in the JVM; only offsets of tokens and rewritten sentences don't."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import batches
+
 #: Pattern of a plain term, after lower-casing.
 TERM = "[a-z]+"
 #: Words, clitics, hyphenated heads, numbers and single signs.
@@ -160,11 +164,23 @@ SENTENCE_REWRITES = (
 )
 
 
+#: The same rewrites without those of one blank by one blank.
+_FEWER = {" +": " {2,}", r"[ \t\n\r\f]+": r"[ \t\n\r\f]{2,}|[\t\n\r\f]"}
+
+
 def normalize_sentence(text: Column) -> Column:
-    """Dashes and quotes folded, signs, marks, citations and genitives spaced out, end-of-proof glyphs named, lines broken after final signs."""
-    for pattern, to in SENTENCE_REWRITES:
-        text = F.regexp_replace(text, pattern, to)
-    return text
+    """Dashes and quotes folded, signs, marks, citations and genitives spaced out, end-of-proof glyphs named, lines broken after final signs.
+
+    The patterns are RE2's, as they are in SQL: an end is the end of the text, and all but a line feed is a character.
+    """
+    rules = [(_FEWER.get(pattern, pattern), re.sub(r"\$([0-9])", r"\\\1", to)) for pattern, to in SENTENCE_REWRITES]
+
+    def of(part: pa.Array) -> pa.Array:
+        for pattern, to in rules:
+            part = pc.replace_substring_regex(part, pattern=pattern, replacement=to)
+        return part
+
+    return batches.arrays(text, of, "string")
 
 
 def merge_equations(text: Column) -> Column:

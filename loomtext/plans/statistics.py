@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import stopwords, tokens
-from ..operators import counts as C, ngrams as G, textcat
+from ..operators import counts as C, inplace as P, ngrams as G, textcat
 from ..sources.staging import stage
 from .common import CNT, DF, IDF, SENT, SIZE, STOP_SQL, TOK, documents, doc_terms, spread, table, with_
 
@@ -62,9 +62,13 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.sentence_terms(documents(spark, sf_dir))
 
 
+def _gram_table(spark: SparkSession, sf_dir: str, *sizes: int, **options) -> DataFrame:
+    return P.ngram_counts(P.sentence_texts(documents(spark, sf_dir)), sizes, **options)
+
+
 def _grams(n: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return G.ngram_counts(G.ngrams(_sentences(spark, sf_dir), n, ["sent"]))
+        return _gram_table(spark, sf_dir, n).select("ngram", "cnt", "df")
 
     return query
 
@@ -85,9 +89,7 @@ def ngrams_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sentences(spark, sf_dir)
-    parts = [G.ngram_counts(G.ngrams(s, n, ["sent"])).select(F.lit(n).alias("size"), "ngram", "cnt") for n in (1, 2, 3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _gram_table(spark, sf_dir, 1, 2, 3).select("size", "ngram", "cnt")
 
 
 def nonstop_run_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,21 +100,19 @@ def nonstop_run_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_idf_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDF of uni-, bi- and trigrams."""
-    s = _sentences(spark, sf_dir)
     size = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
-    parts = [G.ngram_counts(G.ngrams(s, n, ["sent"])).withColumn("size", F.lit(n)) for n in (1, 2, 3)]
-    g = parts[0].unionByName(parts[1]).unionByName(parts[2]).crossJoin(F.broadcast(size))
+    g = _gram_table(spark, sf_dir, 1, 2, 3).crossJoin(F.broadcast(size))
     return g.where(F.col("df") + 1 <= F.col("n_docs")).select("size", "ngram", "cnt", "df", F.round(G.idf_of(F.col("df"), F.col("n_docs")), 6).alias("idf"))
 
 
 def content_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uni-, bi- and trigrams of the runs between stopwords, counted over the corpus."""
-    return G.content_ngrams(_sentences(spark, sf_dir))
+    return _gram_table(spark, sf_dir, 1, 2, 3, stopwords=stopwords.EXTENDED).select("size", "ngram", "cnt")
 
 
 def stemmed_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after stemming, which also decides what is a stopword."""
-    return G.content_ngrams(_sentences(spark, sf_dir), stemmed=True)
+    return _gram_table(spark, sf_dir, 1, 2, 3, stopwords=stopwords.EXTENDED, stemmed=True).select("size", "ngram", "cnt")
 
 
 def freq_json(spark: SparkSession, sf_dir: str) -> DataFrame:
